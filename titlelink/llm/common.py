@@ -7,6 +7,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -77,3 +78,50 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS, chars: int
                 to = end
             yield batch.slice(at, to - at)
             at = to
+
+
+class Recent(dict):
+    """Computed values by key, in two generations: what is used stays, what isn't goes, and memory is bounded."""
+
+    def __init__(self, compute, size: int):
+        super().__init__()
+        self.compute, self.size, self.old = compute, size, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.compute(key)
+        if len(key) <= 40:
+            if len(self) >= self.size:
+                self.old = dict(self)
+                self.clear()
+            self[key] = value
+        return value
+
+
+def word_grams(words: list[bytes], lengths: tuple[int, ...], bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed byte n-grams of words between an opening and a closing mark: bucket (of 2**bits) and word of each n-gram."""
+    if not words:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    buffer = np.frombuffer(b"\x02" + b"\x03\x02".join(words) + b"\x03", np.uint8).astype(np.uint32)
+    ends = np.cumsum(sizes)
+    word = np.repeat(np.arange(len(words)), sizes)
+    room = np.repeat(ends, sizes) - np.arange(len(buffer))
+    found, of = [], []
+    for n in lengths:
+        code = np.full(max(0, len(buffer) - n + 1), n * 0x85EBCA6B & 0xFFFFFFFF, np.uint32)
+        for k in range(n):
+            code = (code ^ buffer[k : k + len(code)]) * np.uint32(0x01000193)
+        at = np.flatnonzero(room[: len(code)] >= n)
+        mixed = code[at]
+        mixed ^= mixed >> np.uint32(15)
+        found.append((mixed * np.uint32(0x9E3779B1)) >> np.uint32(32 - bits))
+        of.append(word[at])
+    return np.concatenate(found).astype(np.int64), np.concatenate(of)
+
+
+def with_labels(docs: DataFrame, labels: DataFrame, most: int = 1_000_000, how: str = "left") -> DataFrame:
+    """docs joined to labels on doc_id; the labels are broadcast only if counted to be at most `most` rows (16 MB)."""
+    few = labels.limit(most + 1).count() <= most
+    return docs.join(F.broadcast(labels) if few else labels, "doc_id", how)

@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import token_pack
+from . import secret_scan, target_ratio, token_pack
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_pack": token_pack.op2_token_pack,
+    "op5_target_ratio": target_ratio.op5_target_ratio,
+    "op8_secret_scan": secret_scan.op8_secret_scan,
 }
 ORACLES: dict[str, str] = {}

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch_path, slices, table, text_bytes
+from .common import Recent, scratch_path, slices, table, text_bytes
 
 BLOCK_IDS = 1 << 16
 #: Distinct pieces, and parts of pieces, whose ids a worker keeps at hand (twice as many at most).
@@ -74,25 +74,6 @@ def unpack_range(payload: bytes, bits: int, start: int, stop: int) -> np.ndarray
     return unpack(payload[low * bits * 8 : high * bits * 8], bits, (high - low) * 64)[start - low * 64 : stop - low * 64]
 
 
-class Recent(dict):
-    """Computed values by key, in two generations: what is used stays, what isn't goes, and memory is bounded."""
-
-    def __init__(self, compute, size: int):
-        super().__init__()
-        self.compute, self.size, self.old = compute, size, {}
-
-    def __missing__(self, key):
-        value = self.old.get(key)
-        if value is None:
-            value = self.compute(key)
-        if len(key) <= 40:
-            if len(self) >= self.size:
-                self.old = dict(self)
-                self.clear()
-            self[key] = value
-        return value
-
-
 #: Letters that case folding and NFC leave one for one: of ASCII and Latin-1.
 _PLAIN = re.compile(r"[\x21-\x7E\xC0-\xD6\xD8-\xF6\xF8-\xFF]*")
 _PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xDF-\xF6\xF8-\xFF]+|[0-9]|[^a-z0-9\xDF-\xF6\xF8-\xFF]+")
