@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, quality_svm, secret_scan, target_ratio, token_pack
+from . import language_id, mixing, quality_svm, secret_scan, target_ratio, token_pack
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_pack": token_pack.op2_token_pack,
     "op3_quality_svm": quality_svm.op3_quality_svm,
     "op5_target_ratio": target_ratio.op5_target_ratio,
+    "op6_mixing": mixing.op6_mixing,
     "op7_language_id": language_id.op7_language_id,
     "op8_secret_scan": secret_scan.op8_secret_scan,
 }
