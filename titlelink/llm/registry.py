@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, mixing, quality_svm, secret_scan, target_ratio, token_pack
+from . import language_id, line_dedup, mixing, quality_svm, secret_scan, target_ratio, token_pack
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_token_pack": token_pack.op2_token_pack,
     "op3_quality_svm": quality_svm.op3_quality_svm,
     "op5_target_ratio": target_ratio.op5_target_ratio,
