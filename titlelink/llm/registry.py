@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language_id, line_dedup, mixing, quality_svm, secret_scan, target_ratio, token_pack
+from . import decontaminate, language_id, line_dedup, mixing, near_dup, quality_svm, secret_scan, target_ratio, token_pack
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -17,5 +17,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_language_id": language_id.op7_language_id,
     "op8_secret_scan": secret_scan.op8_secret_scan,
     "op9_decontaminate": decontaminate.op9_decontaminate,
+    "op10_near_dup": near_dup.op10_near_dup,
 }
 ORACLES: dict[str, str] = {}
