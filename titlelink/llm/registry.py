@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language_id, line_dedup, mixing, near_dup, quality_svm, secret_scan, target_ratio, token_pack
+from . import decontaminate, language_id, line_dedup, mixing, near_dup, quality_svm, secret_scan, suffix_tree, target_ratio, token_pack
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_token_pack": token_pack.op2_token_pack,
     "op3_quality_svm": quality_svm.op3_quality_svm,
+    "op4_suffix_tree": suffix_tree.op4_suffix_tree,
     "op5_target_ratio": target_ratio.op5_target_ratio,
     "op6_mixing": mixing.op6_mixing,
     "op7_language_id": language_id.op7_language_id,
