@@ -201,6 +201,24 @@ def predict(docs: DataFrame, model: Model, fold: Column | None = None) -> DataFr
     return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")
 
 
+def accepted(docs: DataFrame, model: Model) -> DataFrame:
+    """The documents that the model doesn't reject, with all their columns."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = held.value
+        scorer = Scorer(model)
+        for batch in slices(batches):
+            keep = []
+            for text in batch.column(at).to_pylist():
+                letters = bool(text) and any(map(str.isalpha, text))
+                keep.append(letters and bool(model.languages) and float(_softmax(scorer.logits(text.encode())[None, :] / model.temperature).max()) >= model.threshold)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out() -> Column:
     return F.pmod(id_hash(), F.lit(5)) == 0
 

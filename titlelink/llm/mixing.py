@@ -118,17 +118,18 @@ def mix(docs: DataFrame, block: int = BLOCK_WORDS, weights: tuple[int, ...] = WE
     return out.select("doc_id", "th", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
-def remake(docs: DataFrame, **options) -> DataFrame:
+def remake(docs: DataFrame, length: str = "n_chars", **options) -> DataFrame:
     """The mixed documents, with the columns of docs: one row for each time that a document is taken whole, and one with its first
-    words (joined by spaces) where its source's last slot ends inside it. Rows alike in id and text count once."""
+    words (joined by spaces; the column `length`, if there, then counts them) where its source's last slot ends inside it. Rows
+    alike in id and text count once."""
     key = docs.withColumn("_th", F.xxhash64("text")).dropDuplicates(["doc_id", "_th"])
     taken = mix(key.drop("_th"), **options).where("taken > 0").select(F.col("doc_id").alias("_id"), F.col("th").alias("_h"), F.col("size").alias("_size"), F.col("taken").alias("_taken"))
     rows = key.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_h")))
     words = F.slice(F.regexp_extract_all("text", F.lit(WORD_PATTERN), F.lit(0)), 1, F.expr("cast(_taken % _size as int)"))
     turns = rows.withColumn("_turn", F.explode(F.expr("sequence(1, cast(ceil(_taken / _size) as int))")))
-    part = (F.col("_turn") * F.col("_size") > F.col("_taken")).alias("part")
-    kept = [F.when(part, F.array_join(words, " ")).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c) for c in docs.columns]
-    return turns.select(*kept)
+    part = F.col("_turn") * F.col("_size") > F.col("_taken")
+    new = {"text": F.array_join(words, " ")} | ({length: F.length(F.array_join(words, " ")).cast(docs.schema[length].dataType)} if length in docs.columns else {})
+    return turns.select(*[F.when(part, new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in docs.columns])
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from .common import Recent, scratch_path, slices, table, text_bytes
 
 BLOCK_IDS = 1 << 16
-#: Distinct pieces, and parts of pieces, whose ids a worker keeps at hand (twice as many at most).
-CACHE_WORDS = 150_000
+#: Distinct pieces, and parts of pieces, whose ids a worker keeps at hand (twice as many at most, some 300 MB).
+CACHE_PIECES, CACHE_PARTS = 400_000, 300_000
 BLOCKS = "shard long, block long, bits int, first long, n_ids long, doc_ids array<bigint>, doc_starts array<bigint>, payload binary"
 _ARROW = pa.schema([
     ("shard", pa.int64()), ("block", pa.int64()), ("bits", pa.int32()), ("first", pa.int64()), ("n_ids", pa.int64()),
@@ -100,8 +100,8 @@ class WordEncoder:
         kinds = [x.get("type") for x in (made.get("normalizer") or {}).get("normalizers", [])]
         splits = [x.get("pattern", {}).get("Regex") for x in (made.get("pre_tokenizer") or {}).get("pretokenizers", [])]
         self.direct = kinds == ["NFC", "Replace", "Lowercase"] and splits[:1] == [r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"]
-        self.parts = Recent(self._part, CACHE_WORDS)
-        self.pieces = Recent(self._piece, CACHE_WORDS)
+        self.parts = Recent(self._part, CACHE_PARTS)
+        self.pieces = Recent(self._piece, CACHE_PIECES)
         self.pieces[""] = b""
 
     def _part(self, part: str) -> bytes:
