@@ -10,6 +10,7 @@ from itertools import chain
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Equality of scores: relative and absolute, the machine epsilon of single precision.
 EPSILON = 1.1920929e-7
@@ -81,7 +82,7 @@ def romanize(text: str) -> str:
     return "".join(out)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _romanize(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for part in parts:
         yield part.map(lambda t: t if t is None else romanize(t))
@@ -93,9 +94,9 @@ def normalize_title(c: Column | str) -> Column:
 
 
 def trigrams(c: Column | str) -> Column:
-    """Distinct windows of three characters of ^^text$$ in order of appearance."""
+    """Distinct windows of three characters of ^^text$$ in order of appearance: matches of a look-ahead, in time linear in the text."""
     padded = F.concat(F.lit("^^"), col(c), F.lit("$$"))
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(col(c)) + 2), lambda i: F.substr(padded, i, F.lit(3))))
+    return F.array_distinct(F.regexp_extract_all(padded, F.lit("(?s)(?=(...))"), F.lit(1)))
 
 
 def at_least(a: Column, b: Column) -> Column:
