@@ -86,8 +86,8 @@ def winners(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("doc_id")
-    return table(spark, sf_dir, "labels").where(i % 9 == 0).select(i.alias("source_id"), (i % 45).alias("catalog_id"))
+    return table(spark, sf_dir, "labels").where("quality = 0").select(i.alias("source_id"), (i % 45).alias("catalog_id"))
 
 
 def ignores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "labels").where("toxic = 1 and doc_id % 3 = 0").select(F.col("doc_id").alias("source_id"))
+    return table(spark, sf_dir, "labels").where("toxic = 1").select(F.col("doc_id").alias("source_id"))

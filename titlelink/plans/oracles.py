@@ -227,8 +227,8 @@ ORACLES["direct_counts"] = f"WITH {TABLES} SELECT count(mal_id) AS direct, count
 
 REVIEW = """
 w AS (SELECT doc_id AS source_id, CASE WHEN quality = 1 THEN doc_id % 50 END AS winner_id, quality = 1 OR doc_id % 2 = 0 AS has_top FROM labels),
-o AS (SELECT doc_id AS source_id, doc_id % 45 AS catalog_id FROM labels WHERE doc_id % 9 = 0),
-ig AS (SELECT doc_id AS source_id FROM labels WHERE toxic = 1 AND doc_id % 3 = 0),
+o AS (SELECT doc_id AS source_id, doc_id % 45 AS catalog_id FROM labels WHERE quality = 0),
+ig AS (SELECT doc_id AS source_id FROM labels WHERE toxic = 1),
 disp AS (SELECT DISTINCT w.source_id FROM w JOIN o ON w.winner_id = o.catalog_id AND o.source_id <> w.source_id LEFT JOIN o mine ON mine.source_id = w.source_id
   WHERE w.source_id NOT IN (SELECT source_id FROM ig) AND (mine.catalog_id IS NULL OR mine.catalog_id = w.winner_id)),
 st AS (SELECT w.source_id, w.winner_id, w.has_top, o.catalog_id AS override_id, w.source_id IN (SELECT source_id FROM ig) AS is_ignored, w.source_id IN (SELECT source_id FROM disp) AS is_displaced FROM w LEFT JOIN o USING (source_id)),
