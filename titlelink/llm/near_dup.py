@@ -326,7 +326,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     whole = texts.select("rep", "part", "c", "text").mapInArrow(sets, "rep long, part long, c long, shingles binary")
     checked = _blocked(whole, "part", "c").select("part", "i", "j", "rep", "shingles").repartition("part", "i", "j").sortWithinPartitions("part", "i", "j")
     copies = classes.where("c > 1").select("d1", "d2", "n_shingles", "rep")
-    placed = found.join(copies, ["d1", "d2", "n_shingles"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")).alias("rep"))
+    placed = found.join(copies, ["d1", "d2", "n_shingles"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")).alias("rep"))
     placed = materialise(placed, "placed")
     # A doc_id with several texts joins their classes.
     least = placed.where("doc_id is not null").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("m")).where("a < m").drop("m")

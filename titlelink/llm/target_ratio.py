@@ -1,7 +1,7 @@
 """Operator 5: quality by a hashed n-gram log-likelihood ratio between trusted and raw text, beside fixed rules.
 
 The n-grams are byte 2- to 4-grams of words between marks, hashed to 2**16 buckets. One multinomial is fitted to the
-documents that labels trust (quality 1 in all of a document's labels), the other to all documents, with add-one counts. A document's score is the mean log
+documents that labels trust (quality 1 in all of a document's labels), smoothed by the other, which is that of all documents. A document's score is the mean log
 ratio over its n-grams; it is kept if no fixed rule fails and the score reaches the threshold, the same for every document.
 
 Nulls and edge cases: a null text has no words; without n-grams, or without trusted documents, the score is 0; a null doc_id is
@@ -25,6 +25,8 @@ LENGTHS = (2, 3, 4)
 #: Documents whose mean log ratio is below this are dropped: their n-grams are a fifth less likely in trusted text. Languages
 #: that are labelled more or less often than others move by up to 0.15 either way.
 THRESHOLD = -0.25
+#: How many n-grams of the raw text the trusted text is taken to have besides its own.
+PRIOR = 1000.0
 SPACE = (b" ", b"\t", b"\n", b"\x0b", b"\x0c", b"\r")
 SYMBOLS = tuple(bytes([b]) for b in b"#*$%&|<>")
 
@@ -63,8 +65,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     table_[got["trusted"].to_numpy(), got["bucket"].to_numpy()] = got["n"].to_numpy()
     if not table_[1].sum():
         return np.zeros(1 << BITS)
-    raw, target = table_.sum(0) + 1, table_[1] + 1
-    return np.log(target / target.sum()) - np.log(raw / raw.sum())
+    raw = table_.sum(0)
+    share = raw / raw.sum()
+    target = (table_[1] + PRIOR * share) / (table_[1].sum() + PRIOR)
+    return np.where(raw > 0, np.log(np.where(raw > 0, target, 1)) - np.log(np.where(raw > 0, share, 1)), 0.0)
 
 
 def base_counts(text: bytes, words: list[bytes]) -> tuple[int, int, int, int]:
