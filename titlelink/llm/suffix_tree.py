@@ -164,22 +164,20 @@ def fit(docs: DataFrame, usable: Column | None = None, rare: float = RARE) -> Tr
     levels: list[dict[bytes, np.ndarray]] = [{b"": root}]
     for d in range(1, DEPTH + 1):
         pairs = counted.groupBy(F.col("code").bitwiseAND((1 << 8 * (d + 1)) - 1).alias("code")).agg(F.sum("n").alias("n")).select(F.shiftright("code", 8).alias("context"), F.col("code").bitwiseAND(255).alias("b"), "n")
-        common = pairs.groupBy("context").agg(F.sum("n").alias("m"), F.collect_list(F.struct("b", "n")).alias("next")).where(F.col("m") >= max(2.0, rare * total))
+        common = pairs.groupBy("context").agg(F.sum("n").alias("m")).where(F.col("m") >= max(2.0, rare * total)).select("context")
         # At most 1 / rare contexts, of at most 256 next symbols each.
-        level = {}
-        for context, _, following in common.collect():
-            n = np.zeros(width)
-            for b, k in following:
-                n[column[b]] = k
-            level[int(context).to_bytes(d, "big")] = n
+        level: dict[bytes, np.ndarray] = {}
+        for context, b, n in pairs.join(F.broadcast(common), "context", "left_semi").collect():
+            level.setdefault(int(context).to_bytes(d, "big"), np.zeros(width))[column[b]] = n
         levels.append(level)
     return grow(levels, column, total)
 
 
-_CHUNK = "chunk long, doc_ids array<bigint>, held array<boolean>, scores array<double>, sizes array<int>, ids binary, times binary, words array<bigint>, trained array<bigint>"
-_CHUNK_ARROW = pa.schema([
-    ("chunk", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("scores", pa.list_(pa.float64())), ("sizes", pa.list_(pa.int32())),
-    ("ids", pa.binary()), ("times", pa.binary()), ("words", pa.list_(pa.int64())), ("trained", pa.list_(pa.int64())),
+_CHUNK = "chunk long, texts binary, words array<bigint>, trained array<bigint>"
+_CHUNK_ARROW = pa.schema([("chunk", pa.int64()), ("texts", pa.binary()), ("words", pa.list_(pa.int64())), ("trained", pa.list_(pa.int64()))])
+#: What stands in `texts`, as one Arrow message: a plain binary column costs nothing in the many rows that have none.
+_TEXTS = pa.schema([
+    ("doc_ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("scores", pa.list_(pa.float64())), ("sizes", pa.list_(pa.int32())), ("ids", pa.binary()), ("times", pa.binary()),
 ])
 
 
@@ -207,7 +205,9 @@ def _chunks(tree) -> object:
             trains = np.repeat(~np.asarray(c["held"]), c["sizes"])
             trained = np.bincount(ids, times * trains, len(c["numbers"])).astype(np.int64)
             words = np.fromiter(map(xxhash.xxh3_64_intdigest, c["numbers"]), np.uint64, len(c["numbers"])).astype(np.int64)
-            row = [[part << 32 | seq], [c["doc_ids"]], [c["held"]], [c["scores"]], [c["sizes"]], [ids.astype("<u4").tobytes()], [times.astype("<u4").tobytes()], [words], [trained]]
+            own = [[c["doc_ids"]], [c["held"]], [c["scores"]], [c["sizes"]], [ids.astype("<u4").tobytes()], [times.astype("<u4").tobytes()]]
+            texts = pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(own, _TEXTS.types, strict=True)], schema=_TEXTS).serialize().to_pybytes()
+            row = [[part << 32 | seq], [texts], [words], [trained]]
             seq += 1
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, _CHUNK_ARROW.types, strict=True)], schema=_CHUNK_ARROW)
 
@@ -267,7 +267,7 @@ def _assemble(total: int, distinct: int) -> object:
                 if place[a] < 0:
                     if texts is not None:
                         yield give()
-                    texts, counts = batch.column(3)[a].as_py(), []
+                    texts, counts = pa.ipc.read_record_batch(pa.py_buffer(batch.column(3)[a].as_py()), _TEXTS).to_pylist()[0], []
                     a += 1
                 counts.append(c[a:b].copy())
         if texts is not None:
@@ -285,9 +285,8 @@ def score_documents(docs: DataFrame, tree: Tree, fold: Column | None = None) ->
     words = chunks.select("chunk", F.posexplode(F.arrays_zip("words", "trained")).alias("place", "w")).select("chunk", "place", F.col("w.words").alias("word"), F.col("w.trained").alias("n"))
     counts = materialise(words.where("n > 0").groupBy("word").agg(F.sum("n").alias("c")), "counts")
     total, distinct = counts.agg(F.sum("c"), F.count("*")).first()
-    none = F.lit(None).cast("struct<doc_ids:array<bigint>,held:array<boolean>,scores:array<double>,sizes:array<int>,ids:binary,times:binary>")
-    known = words.select("chunk", "place", "word").join(counts, "word", "left").select("chunk", "place", F.coalesce("c", F.lit(0)).alias("c"), none.alias("texts"))
-    heads = chunks.select("chunk", F.lit(-1).alias("place"), F.lit(0).cast("long").alias("c"), F.struct("doc_ids", "held", "scores", "sizes", "ids", "times").alias("texts"))
+    known = words.select("chunk", "place", "word").join(counts, "word", "left").select("chunk", "place", F.coalesce("c", F.lit(0)).alias("c"), F.lit(None).cast("binary").alias("texts"))
+    heads = chunks.select("chunk", F.lit(-1).alias("place"), F.lit(0).cast("long").alias("c"), "texts")
     both = known.unionByName(heads).repartition("chunk").sortWithinPartitions("chunk", "place")
     return both.mapInArrow(_assemble(total or 0, distinct or 0), _OUT)
 
