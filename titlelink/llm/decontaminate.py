@@ -3,7 +3,7 @@
 Texts are compared in lower-case ASCII letters with white space as single spaces, as UTF-8 bytes. An item of m bytes may be found with up to
 k edits (a share of m). An alignment with k edits keeps at least m - q + 1 - k * q of the item's q-grams, on at most k + 1 neighbouring
 diagonals; bands of twice that width, overlapping by half, each hold every such group whole. So per text: (1) positions whose 8 bytes
-occur in any item, by a bitmap; (2) places dense enough in them to reach the least bound of any item; (3) there, the distinct q-grams
+occur in any item, by a bitmap; (2) windows with enough of them for the items of some length; (3) there, the distinct q-grams
 of each item in each band, counted against its bound; (4) a banded alignment of the item with what is left. Steps 1 to 3 lose nothing.
 
 Items under 32 bytes are no evidence of copying and are not searched. The items are broadcast in parts of at most 8 MB of text; a larger
@@ -53,6 +53,9 @@ def align(item: bytes, text: bytes, low: int, high: int, k: int) -> tuple[int, i
 
     Cell d of row i is the text position low - k + i + d, so a row holds the band's diagonals only.
     """
+    exact = text.find(item, max(0, low), max(0, high) + len(item))
+    if exact >= 0:
+        return 0, exact, exact + len(item)
     width = high - low + 2 * k + 1
     pattern, base = np.frombuffer(item, np.uint8), low - k
     padded = np.zeros(len(item) + width + 1, np.int16) - 1
@@ -115,34 +118,44 @@ class Finder:
         self.map = np.zeros(1 << MAP_BITS, bool)
         self.map[(index.grams * _MIX) >> np.uint64(64 - MAP_BITS)] = True
         sizes = np.asarray([len(t) for t in index.items])
-        # For any item, some stretch of `stretch` bytes of its match has at least `dense` hits: the least over the items.
-        self.stretch = int((sizes + 2 * index.edits).min())
-        share = index.bound / (np.ceil((sizes + 2 * index.edits) / self.stretch))
-        self.dense = max(1, int(np.floor(share.min())))
+        self.longest = int(sizes.max())
         self.half = int(index.edits.max()) + 1
+        # Items of about one length share a window that holds any match of theirs whole, and the least of their bounds.
+        spans = sizes + 2 * index.edits
+        self.windows: list[tuple[int, int]] = []
+        order = np.argsort(spans, kind="stable")
+        at = 0
+        while at < len(order):
+            to = int(np.searchsorted(spans[order], spans[order[at]] * 1.15, "right"))
+            own = order[at:to]
+            self.windows.append((int(spans[own].max()), max(1, int(index.bound[own].min()))))
+            at = to
 
     def find(self, data: bytes) -> list[tuple[int, int, int, int]]:
         """(item, edits, start, end) of each item in the normalised text, at its best place."""
         index = self.index
         code = codes(data)
-        if not len(code):
+        n = len(code)
+        if not n:
             return []
         hit = self.map[(code * _MIX) >> np.uint64(64 - MAP_BITS)]
-        total = np.concatenate([[0], np.cumsum(hit, dtype=np.int32)])
-        ends = np.minimum(np.arange(len(code)) + self.stretch, len(code))
-        full = np.flatnonzero(total[ends] - total[:-1] >= self.dense)
-        if not len(full):
+        total = np.zeros(n + 1, np.int32)
+        np.cumsum(hit, out=total[1:])
+        zone = np.zeros(n, bool)
+        for window, dense in self.windows:
+            if window >= n:
+                if total[n] >= dense:
+                    zone[:] = True
+                    break
+                continue
+            full = np.zeros(n + 1, np.int32)
+            np.cumsum(total[window:] - total[: n + 1 - window] >= dense, out=full[1 : n + 2 - window])
+            full[n + 2 - window :] = full[n + 1 - window]
+            if full[n]:
+                # A place is in the zone if a dense window began at it or up to a window before.
+                zone |= full[1:] > np.concatenate([np.zeros(window - 1, np.int32), full[: n - window + 1]])
+        if not zone.any():
             return []
-        marks = np.zeros(len(code) + 1, np.int32)
-        np.add.at(marks, full, 1)
-        np.add.at(marks, ends[full], -1)
-        # A match may run on past the dense stretches that prove it: its own length on both sides.
-        inside = np.cumsum(marks[:-1]) > 0
-        reach = int(max(len(t) for t in index.items)) + 2 * self.half
-        edge = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8)))
-        zone = np.zeros(len(code), bool)
-        for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
-            zone[max(0, a - reach) : b + reach] = True
         at = np.flatnonzero(hit & zone)
         where = np.searchsorted(index.grams, code[at])
         where = np.minimum(where, len(index.grams) - 1)
@@ -155,7 +168,7 @@ class Finder:
         item, place = index.item[flat], index.place[flat]
         diagonal = np.repeat(at, sizes) - place
         found: dict[int, tuple[int, int, int]] = {}
-        shift, span = int(max(len(t) for t in index.items)) + 4 * self.half, 2 * self.half
+        shift, span = self.longest + 4 * self.half, 2 * self.half
         for part in (0, self.half):
             band = (diagonal + shift + part) // span
             key = item.astype(np.int64) << 40 | band
