@@ -13,6 +13,7 @@ learned from once, with its least label; repeated documents each give a row; emp
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,15 +31,17 @@ LENGTHS = (2, 3, 4)
 #: Labelled documents to learn from, half of each label.
 SAMPLE = 3000
 KEEP = 0.7
-_RUNS = ((re.compile(rb"[A-Z]+"), b"X"), (re.compile(rb"[a-z\x80-\xFF]+"), b"x"), (re.compile(rb"[0-9]+"), b"9"), (re.compile(rb"([^A-Za-z0-9])\1+"), rb"\1"))
+#: Letters and digits by kind; other bytes stand for themselves.
+_KINDS = bytes(ord("X") if 65 <= b <= 90 else ord("x") if 97 <= b <= 122 or b >= 128 else ord("9") if 48 <= b <= 57 else b for b in range(256))
+_AGAIN = re.compile(rb"(.)\1+", re.DOTALL)
 
 
 class Features:
     """The sorted numbers of a text's n-grams; what words give is kept at hand."""
 
     def __init__(self):
-        self.grams = Recent(self._grams, 60_000)
-        self.shapes = Recent(self._shape, 60_000)
+        self.grams = Recent(self._grams, 150_000)
+        self.shapes = Recent(self._shape, 150_000)
 
     def _grams(self, word: bytes) -> np.ndarray:
         return np.unique(word_grams([word], LENGTHS, GRAM_BITS)[0]).astype(np.int32)
@@ -56,13 +59,7 @@ class Features:
             self.grams.compute = self._grams
 
     def _shape(self, word: bytes) -> int:
-        shape = word
-        for pattern, by in _RUNS:
-            shape = pattern.sub(by, shape)
-        h = 2166136261
-        for b in shape[:12]:
-            h = (h ^ b) * 16777619 & 0xFFFFFFFF
-        return h
+        return zlib.crc32(_AGAIN.sub(rb"\1", word.translate(_KINDS))[:12])
 
     def of(self, text: bytes) -> np.ndarray:
         words = text.split()
