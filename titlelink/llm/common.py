@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 import zlib
@@ -59,8 +62,16 @@ def crc_mod(doc_id, modulus: int) -> int:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % modulus
 
 
+def give_back() -> None:
+    """Return what an earlier task of this worker has freed to the system: workers live on, and share their machine's memory."""
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS, chars: int = 4 << 20, by: str | None = None) -> Iterator[pa.RecordBatch]:
     """Small slices of the batches, so that Python holds few rows at once; with `by`, also at most about `chars` bytes."""
+    give_back()
     for batch in batches:
         at, n = 0, batch.num_rows
         lengths = None

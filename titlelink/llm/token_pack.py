@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from .common import Recent, scratch_path, slices, table, text_bytes
 
 BLOCK_IDS = 1 << 16
-#: Distinct pieces, and parts of pieces, whose ids a worker keeps at hand (twice as many at most, some 300 MB).
-CACHE_PIECES, CACHE_PARTS = 400_000, 300_000
+#: Distinct pieces, and parts of pieces, whose ids a worker keeps at hand (twice as many at most, some 200 MB).
+CACHE_PIECES, CACHE_PARTS = 250_000, 200_000
 BLOCKS = "shard long, block long, bits int, first long, n_ids long, doc_ids array<bigint>, doc_starts array<bigint>, payload binary"
 _ARROW = pa.schema([
     ("shard", pa.int64()), ("block", pa.int64()), ("bits", pa.int32()), ("first", pa.int64()), ("n_ids", pa.int64()),
