@@ -72,6 +72,18 @@ def test_lines_first_is_kept_and_runs_guaranteed(spark):
                     seen_runs[run] = (k, a)
 
 
+def test_lines_runs_to_their_ends(spark):
+    rng = random.Random(21)
+    own = lambda n: [f"u{rng.random()}" for _ in range(n)]
+    texts, runs = [], []
+    for k in range(8):
+        run = own(60)  # one word a line
+        texts += [(2 * k, "\n".join([*own(40), *run, *own(40)])), (2 * k + 1, "\n".join([*own(35), *run, *own(35)]))]
+        runs.append(list(range(35, 95)))
+    gone = {r.doc_id: list(r.removed) for r in line_dedup.repeats(plain_docs(spark, texts)).collect()}
+    assert [gone[2 * k + 1] for k in range(8)] == runs and not any(gone[2 * k] for k in range(8))
+
+
 def test_lines_awkward(awkward, nothing):
     assert line_dedup.repeats(awkward).count() == awkward.count() and line_dedup.clean(awkward).columns == awkward.columns
     assert line_dedup.repeats(nothing).count() == 0

@@ -3,11 +3,12 @@
 Lines with a word are a document's units. From every unit, the fewest units that hold at least `words` words form a block, whose
 hash is that of its lines' hashes. Of the blocks that begin within any `window` words the one with the least hash (the last of
 equals) is selected, so a repeated run of at least words + window words always has a block selected in all its occurrences.
-Selected blocks join on their hash with the earliest occurrence (by doc_id, text hash and position); from each match, lines
-are compared on both sides, up to `reach` units away, and every later line in an unbroken run of equal lines through a
-matched block is deleted. The earliest occurrence of a line is never deleted.
+A selected block that stood earlier (by doc_id, text hash and position) is deleted, and so is, from it outwards on both sides and without a
+limit, each line that stood earlier beside the same block: the fewest lines before (or after) it that hold at least `words` words, which
+lie within what is matched already. So a run is followed to its first unequal line whichever earlier text it, or a part of it, is
+shared with. The earliest occurrence of a line is never deleted.
 
-A hash that a third of all blocks share costs one row each: it is met by its earliest occurrence alone, never by all pairs.
+A hash that a third of all blocks share costs one row each: its occurrences are told from the earliest by place, never met in pairs.
 
 Nulls and edge cases: a null text is empty; an empty text has one line without a word; a null doc_id is the earliest; rows alike
 in id and text count as one document and get the same result; a text repeated within a document is deleted there too; empty tables
@@ -23,7 +24,6 @@ from .common import WORD_PATTERN, materialise, table
 
 WORDS = 25
 WINDOW = 25
-REACH = 8
 _NO_ID = -(1 << 63)
 
 
@@ -54,24 +54,38 @@ def fingerprints(rows: DataFrame, words: int = WORDS, window: int = WINDOW) -> D
     return blocks.select("k", "th", least.alias("m")).select("k", "th", (-F.col("m.back")).alias("u"), F.col("m.n").alias("n"), F.col("m.fh").alias("fh")).dropDuplicates(["k", "th", "u"])
 
 
-def repeated_lines(docs: DataFrame, words: int = WORDS, window: int = WINDOW, reach: int = REACH) -> DataFrame:
+def neighbours(rows: DataFrame, words: int = WORDS) -> DataFrame:
+    """(k, th, u, kind, key): each unit with the block before it (kind 1) and with the one after it (kind 2), where they are whole."""
+    doc = Window.partitionBy("k", "th")
+    ends = rows.withColumn("end", F.col("at") + F.col("w"))
+    ends = ends.withColumn("before", F.xxhash64(F.collect_list("h").over(doc.orderBy("end").rangeBetween(1 - words, 0))))
+    ends = ends.withColumn("after", F.xxhash64(F.collect_list("h").over(doc.orderBy("at").rangeBetween(0, words - 1)))).withColumn("all", F.max("end").over(doc))
+    order = doc.orderBy("at")
+    ends = ends.withColumn("before", F.lag("before").over(order)).withColumn("after", F.lead("after").over(order))
+    one = F.when(F.col("at") >= words, F.struct(F.lit(1).alias("kind"), F.xxhash64("before", "h").alias("key")))
+    two = F.when(F.col("all") - F.col("end") >= words, F.struct(F.lit(2).alias("kind"), F.xxhash64("h", "after").alias("key")))
+    return ends.select("k", "th", "u", F.explode(F.array_compact(F.array(one, two))).alias("x")).select("k", "th", "u", "x.kind", "x.key")
+
+
+def repeated_lines(docs: DataFrame, words: int = WORDS, window: int = WINDOW) -> DataFrame:
     """(k, th, line, w): the lines to delete; k is doc_id, or the least long if that is null."""
     rows = materialise(units(docs), "units")
     found = materialise(fingerprints(rows, words, window), "fingerprints")
-    # Written, so that the join below is between two plain tables and a hot hash can be split among tasks.
-    first = materialise(found.groupBy("fh").agg(F.min(F.struct("k", "th", "u")).alias("e"), F.count("*").alias("c")).where("c > 1").select("fh", F.col("e.k").alias("ek"), F.col("e.th").alias("eth"), F.col("e.u").alias("eu")), "first")
-    later = found.join(first, "fh").where("not (k = ek and th = eth and u = eu)")
-    seeds = later.select("k", "th", "ek", "eth", (F.col("u") - F.col("eu")).alias("gap"), "u", "n")
-    near = seeds.select("k", "th", "ek", "eth", "gap", F.explode(F.sequence(F.greatest(F.lit(1), F.col("u") - reach), F.col("u") + F.col("n") + reach - 1)).alias("p"), (F.col("p") - F.col("u")).alias("o"), "n")
-    # The same place can be near to many seeds of a diagonal; it is in the block of at least one or of none.
-    near = near.groupBy("k", "th", "ek", "eth", "gap", "p").agg(F.max((F.col("o") >= 0) & (F.col("o") < F.col("n"))).alias("seed"))
-    own = near.join(rows.select("k", "th", F.col("u").alias("p"), "h", "w", "line"), ["k", "th", "p"])
-    theirs = rows.select(F.col("k").alias("ek"), F.col("th").alias("eth"), F.col("u").alias("ep"), "h")
-    same = own.withColumn("ep", F.col("p") - F.col("gap")).join(theirs, ["ek", "eth", "ep", "h"])
-    diagonal = Window.partitionBy("k", "th", "ek", "eth", "gap")
-    runs = same.withColumn("run", F.col("p") - F.row_number().over(diagonal.orderBy("p")))
-    kept = runs.withColumn("hit", F.max("seed").over(Window.partitionBy("k", "th", "ek", "eth", "gap", "run"))).where("hit")
-    return kept.groupBy("k", "th", "line").agg(F.first("w").alias("w"))
+    keys = materialise(neighbours(rows, words).unionByName(found.select("k", "th", "u", F.lit(0).alias("kind"), F.col("fh").alias("key"))), "keys")
+    first = keys.groupBy("kind", "key").agg(F.min(F.struct("k", "th", "u")).alias("e")).select("e.k", "e.th", "e.u", (F.col("kind") + 10).alias("kind"))
+    # By place: a key that isn't the first of its kind there stood earlier.
+    marks = keys.select("k", "th", "u", "kind").unionByName(first).unionByName(found.select("k", "th", "u", F.lit(-1).alias("kind"), "n"), allowMissingColumns=True)
+    every = rows.select("k", "th", "u", "line", "w").unionByName(marks, allowMissingColumns=True).repartition("k", "th")
+    has = lambda kind: F.coalesce(F.max(F.col("kind") == kind), F.lit(False))
+    later = [(has(kind) & ~has(kind + 10)).alias(name) for kind, name in enumerate(("seed", "right", "left"))]
+    at = every.groupBy("k", "th", "u").agg(F.max("line").alias("line"), F.max("w").alias("w"), F.max("n").alias("n"), *later)
+    doc = Window.partitionBy("k", "th").orderBy("u")
+    back, on = doc.rowsBetween(Window.unboundedPreceding, 0), doc.rowsBetween(0, Window.unboundedFollowing)
+    at = at.withColumn("in", F.coalesce(F.max(F.when(F.col("seed"), F.col("u") + F.col("n"))).over(back) > F.col("u"), F.lit(False)))
+    u, held = F.col("u"), F.col("in")
+    right = F.max(F.when(held, u)).over(back) > F.coalesce(F.max(F.when(~held & ~F.col("right"), u)).over(back), F.lit(0))
+    left = F.min(F.when(held, u)).over(on) < F.coalesce(F.min(F.when(~held & ~F.col("left"), u)).over(on), F.lit((1 << 31) - 1))
+    return at.withColumn("gone", F.coalesce(right, F.lit(False)) | F.coalesce(left, F.lit(False))).where("gone").select("k", "th", "line", "w")
 
 
 def repeats(docs: DataFrame, **options) -> DataFrame:
