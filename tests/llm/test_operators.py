@@ -84,6 +84,17 @@ def test_lines_runs_to_their_ends(spark):
     assert [gone[2 * k + 1] for k in range(8)] == runs and not any(gone[2 * k] for k in range(8))
 
 
+def test_lines_shared_with_different_texts(spark):
+    rng = random.Random(22)
+    line = lambda: " ".join(f"w{rng.randrange(10**9)}" for _ in range(8))
+    texts, want = [], {}
+    for k in range(0, 60, 3):
+        one, two = [line() for _ in range(8)], [line()]
+        texts += [(k, "\n".join([line(), *one, line()])), (k + 1, "\n".join([line(), *one, *two, line()])), (k + 2, "\n".join([line(), *one, *two, line()]))]
+        want |= {k: [], k + 1: list(range(1, 9)), k + 2: list(range(1, 10))}
+    assert {r.doc_id: list(r.removed) for r in line_dedup.repeats(plain_docs(spark, texts)).collect()} == want
+
+
 def test_lines_awkward(awkward, nothing):
     assert line_dedup.repeats(awkward).count() == awkward.count() and line_dedup.clean(awkward).columns == awkward.columns
     assert line_dedup.repeats(nothing).count() == 0
