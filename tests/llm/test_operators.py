@@ -203,6 +203,21 @@ def test_suffix_tree(spark, awkward, nothing):
     assert suffix_tree.score_documents(nothing, empty).count() == 0 and suffix_tree.score_documents(awkward, empty).count() == awkward.count()
 
 
+def test_suffix_tree_grows(spark):
+    rng = random.Random(15)
+    pool = ["".join(rng.choice("abcdefghijklmnop") for _ in range(9)) for _ in range(2_000)]
+    texts = [(k, " ".join(rng.choice(pool) for _ in range(400))) for k in range(400)]
+    small, large = (suffix_tree.fit(plain_docs(spark, texts[:n])) for n in (50, 400))
+    sizes = [Counter(map(len, t.contexts)) for t in (small, large)]
+    deep = [sum(n for k, n in s.items() if k >= 4) for s in sizes]
+    assert deep[1] > 2 * deep[0] > 0  # a share of all symbols would leave as many in both
+    # Well attested: each word of the pool occurs about 80 times, after four letters the next one is nearly certain.
+    assert np.mean([w[:4].encode() in large.contexts for w in pool]) > 0.8
+    docs = plain_docs(spark, [*texts[:40], (1000, None), (1001, "unseen \u00fc words")])
+    mine, joined = ({r.doc_id: r.score for r in suffix_tree.score_documents(docs, large, most=m).collect()} for m in (10**9, 0))
+    assert mine.keys() == joined.keys() and np.allclose([mine[k] for k in mine], [joined[k] for k in mine], rtol=1e-5)
+
+
 # --- 5 ---
 
 

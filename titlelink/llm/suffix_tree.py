@@ -1,11 +1,14 @@
 """Operator 4: language-model scores by a probabilistic suffix tree, beside a unigram base.
 
-Symbols are bytes of the ASCII-lower-cased words joined by single spaces, ended by a newline (which no word holds); five newlines stand
-before a text. Windows of a context of five symbols and the next one are counted over all training texts. Contexts of one to
-five symbols stay if they are common enough (a share of all symbols, which bounds their number by its inverse at each length)
-and their next symbols diverge from those of the context without its first symbol by a test (count times Kullback-Leibler divergence,
-against a multiple of the log of all counts). A context's distribution is smoothed with that of its suffix, the root's by adding one. Texts are
-scored by the longest suffix kept, which an automaton over the contexts and their prefixes follows.
+Symbols are bytes of the ASCII-lower-cased words joined by single spaces, ended by a newline (which no word holds); DEPTH newlines stand
+before a text. Windows of a context of DEPTH symbols and the next one are counted over all training texts. Contexts of one to DEPTH
+symbols that occur LEAST times, a fixed count, stay if their next symbols diverge from those of the context without its first symbol by
+a test (count times Kullback-Leibler divergence, against a multiple of the log of all counts); their suffixes stay with them. So the
+tree grows with the corpus. A context's distribution is smoothed with that of its suffix, the root's by adding one, and what was
+never seen after a context has its suffix's probability times a factor. Texts are scored by the longest suffix kept.
+
+The tree is built and kept as a table. Up to MOST_NODES rows of it are broadcast; a larger one is joined with the distinct windows of all
+texts, and each chunk of texts gets back the log probabilities of its own windows only.
 
 The base needs every word's count in the training texts, and words grow with the corpus: texts are taken in chunks, each with its
 own vocabulary; vocabularies are summed by word hash (64 bits) and each chunk gets back the counts of its own words only.
@@ -20,26 +23,31 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property, reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import id_hash, materialise, slices, table, text_bytes
 
-DEPTH = 5
-#: The least share of all symbols that a context must have.
-RARE = 2e-5
+#: A window (context and next symbol) is held in a long, so at most 6.
+DEPTH = 6
+#: The least count of a context.
+LEAST = 2
 #: A context stays if count * divergence (nats) is at least this many times log(all symbols).
 TEST = 2.0
 #: Weight of the suffix's distribution, in symbols.
 SMOOTH = 8.0
+#: Rows of the tree that are broadcast, at 12 bytes each; windows whose scores a task keeps at hand.
+MOST_NODES, MOST_KNOWN = 3_000_000, 1_500_000
 END = 10
 _PAD = bytes([END]) * DEPTH
 CHUNK_TOKENS, CHUNK_WORDS = 4_000_000, 250_000
-_STRIDE = 1024
+#: Where the rows of windows stand behind those of words in a chunk.
+_BEHIND = 1 << 40
 
 
 def stream(text: bytes) -> tuple[bytes, list[bytes]]:
@@ -48,108 +56,137 @@ def stream(text: bytes) -> tuple[bytes, list[bytes]]:
     return _PAD + b" ".join(words) + bytes([END]), words
 
 
+def codes(data: bytes) -> np.ndarray:
+    """The window at each place as one number: the context's symbols first and the next one last."""
+    return (np.ndarray((max(0, len(data) - DEPTH),), ">u8", data + b"\0" * 8, strides=(1,)).astype(np.uint64) >> np.uint64(64 - 8 * (DEPTH + 1))).astype(np.int64)
+
+
+def _low(symbols: int) -> int:
+    return (1 << 8 * symbols) - 1
+
+
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(code, n): the distinct windows of the task's texts; a code has the context's symbols first and the next one last."""
-    codes, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    """(code, n): the distinct windows of the task's texts."""
+    found, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def fold(parts: list[np.ndarray]) -> None:
-        nonlocal codes, counts
+        nonlocal found, counts
         got = np.sort(np.concatenate(parts))
         new = np.flatnonzero(np.concatenate([[True], got[1:] != got[:-1]]))
-        every = np.concatenate([codes, got[new]])
+        every = np.concatenate([found, got[new]])
         n = np.concatenate([counts, np.diff(np.append(new, len(got)))])
         order = np.argsort(every, kind="stable")
         every, n = every[order], n[order]
         first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
-        codes, counts = every[first], np.add.reduceat(n, first)
+        found, counts = every[first], np.add.reduceat(n, first)
 
     parts, size = [], 0
     for batch in slices(batches, chars=2 << 20, by="text"):
         for raw in batch.column(0).to_pylist():
             data, _ = stream(raw)
-            n = len(data) - DEPTH
-            parts.append(np.ndarray((n,), ">u8", data + b"\0\0", strides=(1,)).astype(np.uint64) >> np.uint64(64 - 8 * (DEPTH + 1)))
-            size += n
+            parts.append(codes(data))
+            size += len(data) - DEPTH
         if size > 3_000_000:
             fold(parts)
             parts, size = [], 0
     if parts:
         fold(parts)
-    for k in range(0, len(codes), 65536):
-        yield pa.RecordBatch.from_arrays([pa.array(codes[k : k + 65536].astype(np.int64)), pa.array(counts[k : k + 65536])], names=["code", "n"])
+    for k in range(0, len(found), 65536):
+        yield pa.RecordBatch.from_arrays([pa.array(found[k : k + 65536]), pa.array(counts[k : k + 65536])], names=["code", "n"])
 
 
 @dataclass
 class Tree:
     column: np.ndarray  # of each byte; the last column is of bytes never seen in training
-    go: np.ndarray  # next state, by state and column
-    log: np.ndarray  # log10 of the next symbol's probability, by state and column
-    contexts: dict[bytes, np.ndarray]  # the kept contexts' distributions, by column
-
-
-def grow(levels: list[dict[bytes, np.ndarray]], column: np.ndarray, total: int, test: float = TEST, smooth: float = SMOOTH) -> Tree:
-    """levels[d]: counts of next symbols by column (the last, of unseen bytes, is 0) of the common contexts of d symbols."""
-    width = int(column.max()) + 1
-    root = levels[0].get(b"", np.zeros(width))
-    p = (root + 1.0) / (root.sum() + 256)  # each unseen byte has the last column's probability
-    dist = {b"": p}
-    kept: set[bytes] = {b""}
-    for level in levels[1:]:
-        for context, n in level.items():
-            below = dist.get(context[1:])
-            if below is None:
-                continue
-            own = (n + smooth * below) / (n.sum() + smooth)
-            dist[context] = own
-            share = n / n.sum()
-            seen = share > 0
-            if n.sum() * float((share[seen] * np.log(share[seen] / below[seen])).sum()) >= test * math.log(max(2, total)):
-                kept.update(context[k:] for k in range(len(context) + 1))
-    states = sorted({c[:k] for c in kept for k in range(len(c) + 1)}, key=lambda s: (len(s), s))
-    number = {s: k for k, s in enumerate(states)}
-    go, fail, best = np.zeros((len(states), width), np.int32), np.zeros(len(states), np.int32), np.zeros(len(states), np.int32)
-    children: dict[int, list[tuple[int, int]]] = {}
-    for s, k in number.items():
-        if s:
-            children.setdefault(number[s[:-1]], []).append((int(column[s[-1]]), k))
-    log = np.empty((len(states), width), np.float32)
-    for k, s in enumerate(states):  # shorter ones first, so a state's suffix is complete
-        if s:
-            go[k] = go[fail[k]]
-        best[k] = k if s in kept else best[fail[k]]
-        log[k] = np.log10(dist[s]) if s in kept else log[best[k]]
-        for c, child in children.get(k, ()):
-            fail[child] = go[fail[k], c] if s else 0
-        for c, child in children.get(k, ()):
-            go[k, c] = child
-    return Tree(column, go, log, {s: dist[s] for s in kept})
-
-
-def score(tree: Tree, streams: list[bytes]) -> np.ndarray:
-    """log10 probability of each text's symbols. All texts are walked at once, in stretches that begin DEPTH symbols early: a state
-    depends on no more than that many."""
-    data = tree.column[np.frombuffer(b"".join(streams), np.uint8)]
-    rows = -(-len(data) // _STRIDE)
-    padded = np.concatenate([np.zeros(DEPTH, data.dtype), data, np.zeros(rows * _STRIDE - len(data), data.dtype)])
-    width = tree.go.shape[1]
-    go, log = tree.go.reshape(-1), tree.log.reshape(-1)
-    got = np.empty((_STRIDE, rows), np.float32)
-    state = np.zeros(rows, np.int64)
-    starts = np.arange(rows) * _STRIDE
-    for t in range(_STRIDE + DEPTH):
-        at = state * width + padded[starts + t]
-        if t >= DEPTH:
-            got[t - DEPTH] = log[at]
-        state = go[at].astype(np.int64)
-    flat = got.T.reshape(-1)[: len(data)].astype(np.float64)
-    sizes = np.asarray([len(s) for s in streams])
-    first = np.cumsum(sizes) - sizes
-    for k in range(DEPTH):  # what stands before a text isn't scored
-        flat[first + k] = 0.0
-    return np.add.reduceat(flat, first)
-
-
-def fit(docs: DataFrame, usable: Column | None = None, rare: float = RARE) -> Tree:
+    root: np.ndarray  # log10 probability of each byte without a context
+    nodes: DataFrame  # (d, back, code, log): of kept contexts of d symbols, the windows seen; with `back`, the contexts and their factors
+
+    @cached_property
+    def contexts(self) -> dict[bytes, np.ndarray]:
+        """The kept contexts' distributions by column, collected: for small trees."""
+        out = {b"": np.zeros(int(self.column.max()) + 1)}
+        out[b""][self.column] = 10**self.root
+        for r in self.nodes.orderBy("d", F.col("back").desc()).collect():
+            if r.back:
+                context = r.code.to_bytes(r.d, "big")
+                out[context] = out[context[1:]] * 10**r.log
+            else:
+                out[(r.code >> 8).to_bytes(r.d, "big")][self.column[r.code & 255]] = 10**r.log
+        return out
+
+
+class Model:
+    """The tree's rows as sorted arrays."""
+
+    def __init__(self, root: np.ndarray, nodes: pa.Table):
+        d, back, code, log = (nodes.column(k).to_numpy() for k in range(4))
+        self.root, self.levels = root, []
+        for k in range(1, DEPTH + 1):
+            own = []
+            for kind in (True, False):
+                at = np.flatnonzero((d == k) & (back == kind))
+                at = at[np.argsort(code[at])]
+                own.append((code[at], log[at].astype(np.float32)))
+            self.levels.append(own)
+
+    def logs(self, windows: np.ndarray) -> np.ndarray:
+        out = self.root[windows & 255].astype(np.float32)
+        live = np.arange(len(windows))  # those with a longer context kept
+        for d, (contexts, pairs) in enumerate(self.levels, 1):
+            pair = windows[live] & _low(d + 1)
+            at, has = _find(contexts[0], pair >> 8)
+            live, pair = live[has], pair[has]
+            if not len(live):
+                break
+            out[live] += contexts[1][at[has]]
+            at, has = _find(pairs[0], pair)
+            out[live[has]] = pairs[1][at[has]]
+        return out
+
+
+def _find(of: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the values in a sorted array, and which of them are there."""
+    if not len(of):
+        return np.zeros(len(values), np.int64), np.zeros(len(values), bool)
+    at = np.minimum(np.searchsorted(of, values), len(of) - 1)
+    return at, of[at] == values
+
+
+class _Known:
+    """Log probabilities of windows, those met before kept at hand."""
+
+    def __init__(self, model: Model):
+        self.model, self.codes, self.logs = model, np.zeros(0, np.int64), np.zeros(0, np.float32)
+
+    def __call__(self, windows: np.ndarray) -> np.ndarray:
+        order = np.argsort(windows)  # ascending values are looked up much faster
+        got = windows[order]
+        first = np.flatnonzero(np.concatenate([[True], got[1:] != got[:-1]]))
+        got = got[first]
+        at, has = _find(self.codes, got)
+        if not has.all():
+            if len(self.codes) > MOST_KNOWN:
+                self.codes, self.logs, has = self.codes[:0], self.logs[:0], np.zeros(len(has), bool)
+            new = got[~has]
+            place = np.searchsorted(self.codes, new)
+            self.codes, self.logs = np.insert(self.codes, place, new), np.insert(self.logs, place, self.model.logs(new))
+            at = np.searchsorted(self.codes, got)
+        out = np.empty(len(windows), np.float32)
+        out[order] = np.repeat(self.logs[at], np.diff(np.append(first, len(windows))))
+        return out
+
+
+def score(known, streams: list[bytes]) -> np.ndarray:
+    """log10 probability of each text's symbols; known: of windows."""
+    data = b"".join(streams) + _PAD
+    flat = known(codes(data)).astype(np.float64)
+    ends = np.cumsum([len(s) for s in streams])
+    for k in range(1, DEPTH + 1):  # windows that reach into the next text
+        flat[ends - k] = 0.0
+    return np.add.reduceat(flat, np.append(0, ends[:-1]))
+
+
+def fit(docs: DataFrame, usable: Column | None = None, least: int = LEAST) -> Tree:
     rows = (docs.where(usable) if usable is not None else docs).select(text_bytes().alias("text"))
     counted = materialise(rows.mapInArrow(_windows, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")), "windows")
     singles = {int(b): int(n) for b, n in counted.groupBy(F.col("code").bitwiseAND(255).alias("b")).agg(F.sum("n")).collect()}  # at most 256
@@ -157,27 +194,47 @@ def fit(docs: DataFrame, usable: Column | None = None, rare: float = RARE) -> Tr
     column = np.full(256, len(singles), np.int16)
     for k, b in enumerate(sorted(singles)):
         column[b] = k
-    width = len(singles) + 1
-    root = np.zeros(width)
-    for b, n in singles.items():
-        root[column[b]] = n
-    levels: list[dict[bytes, np.ndarray]] = [{b"": root}]
+    p = np.asarray([(singles.get(b, 0) + 1.0) / (total + 256) for b in range(256)])
+    below = docs.sparkSession.createDataFrame([(b, float(p[b])) for b in range(256)], "code long, p double")
+    levels = []
+    for d in range(1, DEPTH + 1):
+        pairs = counted if d == DEPTH else counted.groupBy(F.col("code").bitwiseAND(_low(d + 1)).alias("code")).agg(F.sum("n").alias("n"))
+        own = Window.partitionBy("context")
+        pairs = pairs.withColumn("context", F.shiftright("code", 8)).withColumn("m", F.sum("n").over(own)).where(F.col("m") >= least)
+        # What was seen after a context was seen after its suffix, which is as common at least.
+        pairs = pairs.join(below.select(F.col("code").alias("short"), F.col("p").alias("q")), F.col("code").bitwiseAND(_low(d)) == F.col("short"))
+        gain = F.sum(F.col("n") * F.log(F.col("n") / F.col("m") / F.col("q"))).over(own)
+        levels.append(materialise(pairs.select("code", "context", "m", ((F.col("n") + SMOOTH * F.col("q")) / (F.col("m") + SMOOTH)).alias("p"), gain.alias("gain")), "level"))
+        below = levels[-1]
+    parts, kept = [], None
+    for d in range(DEPTH, 0, -1):
+        level = levels[d - 1]
+        passed = level.where(F.col("gain") >= TEST * math.log(max(2, total))).select("context")
+        kept = materialise((passed if kept is None else passed.unionByName(kept.select(F.col("context").bitwiseAND(_low(d)).alias("context")))).distinct(), "kept")
+        mine = level.join(kept, "context", "left_semi")
+        parts.append(mine.select(F.lit(d).alias("d"), F.lit(False).alias("back"), "code", F.log10("p").alias("log")))
+        parts.append(mine.groupBy("context").agg(F.first("m").alias("m")).select(F.lit(d).alias("d"), F.lit(True).alias("back"), F.col("context").alias("code"), F.log10(SMOOTH / (F.col("m") + SMOOTH)).alias("log")))
+    return Tree(column, np.log10(p), materialise(reduce(DataFrame.unionByName, parts), "nodes"))
+
+
+def _joined(windows: DataFrame, tree: Tree) -> DataFrame:
+    """(code, log) of distinct windows, by joins with the tree's rows."""
+    root = windows.sparkSession.createDataFrame([(b, float(x)) for b, x in enumerate(tree.root)], "b long, log double")
+    at = windows.join(F.broadcast(root), F.col("code").bitwiseAND(255) == F.col("b")).select("code", "log")
     for d in range(1, DEPTH + 1):
-        pairs = counted.groupBy(F.col("code").bitwiseAND((1 << 8 * (d + 1)) - 1).alias("code")).agg(F.sum("n").alias("n")).select(F.shiftright("code", 8).alias("context"), F.col("code").bitwiseAND(255).alias("b"), "n")
-        common = pairs.groupBy("context").agg(F.sum("n").alias("m")).where(F.col("m") >= max(2.0, rare * total)).select("context")
-        # At most 1 / rare contexts, of at most 256 next symbols each.
-        level: dict[bytes, np.ndarray] = {}
-        for context, b, n in pairs.join(F.broadcast(common), "context", "left_semi").collect():
-            level.setdefault(int(context).to_bytes(d, "big"), np.zeros(width))[column[b]] = n
-        levels.append(level)
-    return grow(levels, column, total)
-
-
-_CHUNK = "chunk long, texts binary, words array<bigint>, trained array<bigint>"
-_CHUNK_ARROW = pa.schema([("chunk", pa.int64()), ("texts", pa.binary()), ("words", pa.list_(pa.int64())), ("trained", pa.list_(pa.int64()))])
+        level = tree.nodes.where(F.col("d") == d)
+        contexts = level.where("back").select(F.col("code").alias("context"), F.col("log").alias("factor"))
+        pairs = level.where("not back").select(F.col("code").alias("pair"), F.col("log").alias("own"))
+        at = at.withColumn("pair", F.col("code").bitwiseAND(_low(d + 1))).withColumn("context", F.shiftright("pair", 8))
+        at = at.join(contexts, "context", "left").join(pairs, "pair", "left").select("code", F.coalesce("own", F.col("log") + F.coalesce("factor", F.lit(0.0))).alias("log"))
+    return at
+
+
+_CHUNK = "chunk long, texts binary, words array<bigint>, trained array<bigint>, windows array<bigint>"
+_CHUNK_ARROW = pa.schema([("chunk", pa.int64()), ("texts", pa.binary()), ("words", pa.list_(pa.int64())), ("trained", pa.list_(pa.int64())), ("windows", pa.list_(pa.int64()))])
 #: What stands in `texts`, as one Arrow message: a plain binary column costs nothing in the many rows that have none.
 _TEXTS = pa.schema([
-    ("doc_ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("scores", pa.list_(pa.float64())), ("sizes", pa.list_(pa.int32())), ("ids", pa.binary()), ("times", pa.binary()),
+    ("doc_ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("scores", pa.list_(pa.float64())), ("sizes", pa.list_(pa.int32())), ("ids", pa.binary()), ("times", pa.binary()), ("streams", pa.list_(pa.binary())),
 ])
 
 
@@ -187,17 +244,17 @@ class _Numbers(dict):
         return k
 
 
-def _chunks(tree) -> object:
-    """Texts as counts of words that are numbered within a chunk, with the tree's scores."""
+def _chunks(model) -> object:
+    """Texts as counts of words that are numbered within a chunk, with the tree's scores; without a model, with the texts' symbols and windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        model = tree.value
+        known = _Known(model.value) if model else None
         part, seq = TaskContext.get().partitionId(), 0
 
         def fresh():
-            return {"numbers": _Numbers(), "doc_ids": [], "held": [], "scores": [], "sizes": [], "ids": [], "times": [], "tokens": 0}
+            return {"numbers": _Numbers(), "doc_ids": [], "held": [], "scores": [], "sizes": [], "ids": [], "times": [], "streams": [], "windows": [], "tokens": 0}
 
         def give(c) -> pa.RecordBatch:
             nonlocal seq
@@ -205,9 +262,10 @@ def _chunks(tree) -> object:
             trains = np.repeat(~np.asarray(c["held"]), c["sizes"])
             trained = np.bincount(ids, times * trains, len(c["numbers"])).astype(np.int64)
             words = np.fromiter(map(xxhash.xxh3_64_intdigest, c["numbers"]), np.uint64, len(c["numbers"])).astype(np.int64)
-            own = [[c["doc_ids"]], [c["held"]], [c["scores"]], [c["sizes"]], [ids.astype("<u4").tobytes()], [times.astype("<u4").tobytes()]]
+            own = [[c["doc_ids"]], [c["held"]], [c["scores"]], [c["sizes"]], [ids.astype("<u4").tobytes()], [times.astype("<u4").tobytes()], [c["streams"]]]
+            windows = np.unique(np.concatenate(c["windows"])) if c["windows"] else np.zeros(0, np.int64)
             texts = pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(own, _TEXTS.types, strict=True)], schema=_TEXTS).serialize().to_pybytes()
-            row = [[part << 32 | seq], [texts], [words], [trained]]
+            row = [[part << 32 | seq], [texts], [words], [trained], [windows]]
             seq += 1
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, _CHUNK_ARROW.types, strict=True)], schema=_CHUNK_ARROW)
 
@@ -225,8 +283,11 @@ def _chunks(tree) -> object:
                 c["ids"].append(ids)
                 c["times"].append(times.astype(np.int32))
                 c["tokens"] += len(words)
-            if streams:
-                c["scores"] += score(model, streams).tolist()
+            if streams and known:
+                c["scores"] += score(known, streams).tolist()
+            elif streams:
+                c["streams"] += streams
+                c["windows"].append(np.unique(np.concatenate([codes(x) for x in streams])))
             if c["tokens"] >= CHUNK_TOKENS or len(c["numbers"]) >= CHUNK_WORDS:
                 yield give(c)
                 c = fresh()
@@ -243,10 +304,17 @@ def _assemble(total: int, distinct: int) -> object:
     """Per document, from rows sorted by chunk and place: first the chunk's texts, then its words' counts in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts, counts = None, []
+        texts, counts, scored = None, [], []
 
         def give() -> pa.RecordBatch:
-            c = np.concatenate(counts) if counts else np.zeros(0, np.int64)
+            c = np.concatenate(counts)
+            if texts["streams"]:
+                log = np.concatenate(scored)
+                words = np.isnan(log)
+                windows, log, c = c[~words], log[~words], c[words]
+                order = np.argsort(windows)
+                windows, log = windows[order], log[order]
+                texts["scores"] = [x for k in range(0, len(texts["streams"]), 256) for x in score(lambda w: log[np.minimum(np.searchsorted(windows, w), len(windows) - 1)], texts["streams"][k : k + 256])]
             sizes = np.asarray(texts["sizes"], np.int64)
             ids, times = np.frombuffer(texts["ids"], "<u4"), np.frombuffer(texts["times"], "<u4").astype(np.int64)
             first = np.cumsum(sizes) - sizes
@@ -261,33 +329,41 @@ def _assemble(total: int, distinct: int) -> object:
             )
 
         for batch in batches:
-            place, c = (batch.column(k).to_numpy(zero_copy_only=False) for k in (1, 2))
+            place, c, log = (batch.column(k).to_numpy(zero_copy_only=False) for k in (1, 2, 4))
             cuts = sorted({0, *np.flatnonzero(place < 0).tolist(), len(place)})
             for a, b in zip(cuts, cuts[1:], strict=False):
                 if place[a] < 0:
                     if texts is not None:
                         yield give()
                     texts, counts = pa.ipc.read_record_batch(pa.py_buffer(batch.column(3)[a].as_py()), _TEXTS).to_pylist()[0], []
+                    scored = []
                     a += 1
                 counts.append(c[a:b].copy())
+                scored.append(log[a:b].astype(np.float64))
         if texts is not None:
             yield give()
 
     return run
 
 
-def score_documents(docs: DataFrame, tree: Tree, fold: Column | None = None) -> DataFrame:
+def score_documents(docs: DataFrame, tree: Tree, fold: Column | None = None, most: int = MOST_NODES) -> DataFrame:
     """Per document: fold, tokens, those known from training, the base's and the tree's log10 probability."""
-    # At most 1 / RARE contexts of each length, with their prefixes, by the symbols seen.
-    held = docs.sparkSession.sparkContext.broadcast(Tree(tree.column, tree.go, tree.log, {}))
+    few = tree.nodes.limit(most + 1).count() <= most
+    model = docs.sparkSession.sparkContext.broadcast(Model(tree.root, tree.nodes.toArrow())) if few else None
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"), (fold if fold is not None else F.lit(False)).alias("held"))
-    chunks = materialise(rows.mapInArrow(_chunks(held), _CHUNK), "chunks")
+    chunks = materialise(rows.mapInArrow(_chunks(model), _CHUNK), "chunks")
     words = chunks.select("chunk", F.posexplode(F.arrays_zip("words", "trained")).alias("place", "w")).select("chunk", "place", F.col("w.words").alias("word"), F.col("w.trained").alias("n"))
     counts = materialise(words.where("n > 0").groupBy("word").agg(F.sum("n").alias("c")), "counts")
     total, distinct = counts.agg(F.sum("c"), F.count("*")).first()
-    known = words.select("chunk", "place", "word").join(counts, "word", "left").select("chunk", "place", F.coalesce("c", F.lit(0)).alias("c"), F.lit(None).cast("binary").alias("texts"))
-    heads = chunks.select("chunk", F.lit(-1).alias("place"), F.lit(0).cast("long").alias("c"), "texts")
-    both = known.unionByName(heads).repartition("chunk").sortWithinPartitions("chunk", "place")
+    none, nan = F.lit(None).cast("binary").alias("texts"), F.lit(float("nan")).cast("double").alias("log")
+    known = words.select("chunk", "place", "word").join(counts, "word", "left").select("chunk", F.col("place").cast("long").alias("place"), F.coalesce("c", F.lit(0)).alias("c"), none, nan)
+    heads = chunks.select("chunk", F.lit(-1).cast("long").alias("place"), F.lit(0).cast("long").alias("c"), "texts", nan)
+    both = known.unionByName(heads)
+    if not few:
+        windows = chunks.select("chunk", F.explode("windows").alias("code"))
+        logs = materialise(_joined(windows.select("code").distinct(), tree), "logs")
+        both = both.unionByName(windows.join(logs, "code").select("chunk", F.lit(_BEHIND).cast("long").alias("place"), F.col("code").alias("c"), none, "log"))
+    both = both.repartition("chunk").sortWithinPartitions("chunk", "place")
     return both.mapInArrow(_assemble(total or 0, distinct or 0), _OUT)
 
 
