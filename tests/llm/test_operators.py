@@ -122,9 +122,10 @@ def test_words_like_whole_text(text):
     if not hasattr(test_words_like_whole_text, "made"):
         spec = token_pack.tokenizer_file()
         t = Tokenizer.from_str(spec)
-        test_words_like_whole_text.made = t, token_pack.WordEncoder(t, spec)
+        test_words_like_whole_text.made = t, token_pack.WordEncoder(spec)
     whole, words = test_words_like_whole_text.made
-    assert np.frombuffer(words.ids(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
+    texts = [text, "", text.replace("9", "x"), re.sub("[^ -~]", "'", text), "don't we'll 're'd \n''s it'ssts 4've \xc0'M x'", text]
+    assert [np.frombuffer(x, "<u4").tolist() for x in words.ids(texts)] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 def test_tokens_awkward(spark, awkward, nothing):

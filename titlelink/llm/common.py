@@ -92,21 +92,26 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS, chars: int
 
 
 class Recent(dict):
-    """Computed values by key, in two generations: what is used stays, what isn't goes, and memory is bounded."""
+    """Computed values by key, in two generations: what is used stays, what isn't goes; both hold about `size` bytes at most."""
+
+    #: Bytes of an entry besides those of its key and value.
+    ENTRY = 150
 
     def __init__(self, compute, size: int):
         super().__init__()
-        self.compute, self.size, self.old = compute, size, {}
+        self.compute, self.half, self.held, self.old = compute, size // 2, 0, {}
 
     def __missing__(self, key):
         value = self.old.get(key)
         if value is None:
             value = self.compute(key)
         if len(key) <= 40:
-            if len(self) >= self.size:
+            if self.held >= self.half:
                 self.old = dict(self)
                 self.clear()
+                self.held = 0
             self[key] = value
+            self.held += self.ENTRY + len(key) + len(value)
         return value
 
 

@@ -26,8 +26,10 @@ from pyspark.sql import functions as F
 from .common import Recent, scratch_path, slices, table, text_bytes
 
 BLOCK_IDS = 1 << 16
-#: Distinct pieces, and parts of pieces, whose ids a worker keeps at hand (twice as many at most, some 200 MB).
-CACHE_PIECES, CACHE_PARTS = 250_000, 200_000
+#: Bytes that a worker process spends on keeping the ids of words at hand.
+CACHE_BYTES = 40 << 20
+#: Characters that are split into parts at a time.
+RUN_CHARS = 1 << 20
 BLOCKS = "shard long, block long, bits int, first long, n_ids long, doc_ids array<bigint>, doc_starts array<bigint>, payload binary"
 _ARROW = pa.schema([
     ("shard", pa.int64()), ("block", pa.int64()), ("bits", pa.int32()), ("first", pa.int64()), ("n_ids", pa.int64()),
@@ -74,9 +76,40 @@ def unpack_range(payload: bytes, bits: int, start: int, stop: int) -> np.ndarray
     return unpack(payload[low * bits * 8 : high * bits * 8], bits, (high - low) * 64)[start - low * 64 : stop - low * 64]
 
 
-#: Letters that case folding and NFC leave one for one: of ASCII and Latin-1.
-_PLAIN = re.compile(r"[\x21-\x7E\xC0-\xD6\xD8-\xF6\xF8-\xFF]*")
-_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xDF-\xF6\xF8-\xFF]+|[0-9]|[^a-z0-9\xDF-\xF6\xF8-\xFF]+")
+#: Texts that case folding and NFC leave one for one: of ASCII and the letters of Latin-1.
+_PLAIN = re.compile(r"[\t\n\r\x20-\x7E\xC0-\xD6\xD8-\xF6\xF8-\xFF]*")
+#: Characters of a plain lower-case text: 0 space, 1 letter, 2 digit, 3 any other.
+_KIND = np.full(256, 3, np.uint8)
+_KIND[[9, 10, 13, 32]] = 0
+_KIND[[*range(97, 123), *range(0xDF, 0xF7), *range(0xF8, 0x100)]] = 1
+_KIND[48:58] = 2
+_CHARS = np.random.default_rng(20240615).integers(1, 1 << 63, 256, dtype=np.uint64)
+_CHARS[_KIND == 0] = 0
+_POWER = np.uint64(0x9E3779B97F4A7C15)
+#: Letters that make a part of their own with an apostrophe before them.
+_SHORT = np.zeros(256, bool)
+_SHORT[list(b"stmd")] = True
+
+
+def parts_of(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where the parts of a plain lower-case text in Latin-1 begin and end: runs of letters, digits, runs of other characters but space,
+    and an apostrophe with s, t, m, d, re, ve or ll behind it."""
+    byte = np.frombuffer(data + b"  ", np.uint8)
+    kind = _KIND[byte]
+    change = np.append(True, kind[1:] != kind[:-1])
+    start = (kind > 0) & (change | (kind == 2))
+    at = np.flatnonzero(start & (byte == 39))
+    at = at[kind[at + 1] == 1]
+    one = at[_SHORT[byte[at + 1]]]
+    pair = byte[at + 1].astype(np.int32) << 8 | byte[at + 2]
+    two = at[np.isin(pair, [0x7265, 0x7665, 0x6C6C])]
+    start[np.concatenate([one, two]) + 1] = False
+    for places, n in ((one, 2), (two, 3)):
+        places = places[kind[places + n] == 1]
+        start[places + n] = True
+    edge = np.flatnonzero(start | (change & (kind == 0)))
+    first = np.flatnonzero(start[edge])
+    return edge[first], edge[np.minimum(first + 1, len(edge) - 1)]
 
 
 def _byte_letters() -> dict[int, str]:
@@ -87,43 +120,99 @@ def _byte_letters() -> dict[int, str]:
 
 
 class WordEncoder:
-    """Ids (as little-endian bytes) of a text, from those of the pieces between spaces and newlines.
+    """Ids (as little-endian bytes) of texts, from those of their parts.
 
-    A tokenizer that drops white space never joins over it, so a text's ids are those of its pieces. If the tokenizer
-    is of the known layout (NFC, lower case, words with a split pattern, byte letters), pieces of plain letters go to
-    the library's model directly; all others take its whole path.
+    A tokenizer that drops white space never joins over it, so a text's ids are those of the pieces between spaces and newlines.
+    If the tokenizer is of the known layout (NFC, lower case, words with a split pattern, byte letters), plain texts are
+    split here, many at once, and each distinct part goes to the library's model; all others take its whole path, piece by piece.
     """
 
-    def __init__(self, tokenizer, spec: str):
+    def __init__(self, spec: str):
+        from tokenizers import Tokenizer
+
         made = json.loads(spec)
-        self.tokenizer, self.model, self.letters = tokenizer, tokenizer.model, _byte_letters()
+        self.tokenizer = Tokenizer.from_str(spec)
+        self.tokenize, self.letters = self.tokenizer.model.tokenize, _byte_letters()
         kinds = [x.get("type") for x in (made.get("normalizer") or {}).get("normalizers", [])]
         splits = [x.get("pattern", {}).get("Regex") for x in (made.get("pre_tokenizer") or {}).get("pretokenizers", [])]
         self.direct = kinds == ["NFC", "Replace", "Lowercase"] and splits[:1] == [r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"]
-        self.parts = Recent(self._part, CACHE_PARTS)
-        self.pieces = Recent(self._piece, CACHE_PIECES)
-        self.pieces[""] = b""
+        self.parts = Recent(self._part, CACHE_BYTES)
+        self.pieces = Recent(self._piece, CACHE_BYTES // 8)
 
-    def _part(self, part: str) -> bytes:
-        return array("I", [x.id for x in self.model.tokenize("".join(self.letters[b] for b in part.encode()))]).tobytes()
+    def _part(self, part: bytes) -> bytes:
+        letters = part.decode("latin-1")
+        if not part.isascii():
+            letters = letters.encode().decode("latin-1").translate(self.letters)
+        return array("I", [x.id for x in self.tokenize(letters)]).tobytes()
 
     def _piece(self, piece: str) -> bytes:
-        if not piece:
-            return b""
-        if self.direct and _PLAIN.fullmatch(piece) and "<|" not in piece:
-            return b"".join(map(self.parts.__getitem__, _PARTS.findall(piece.lower())))
+        if self._plain(piece):
+            return self._many([piece])[0]
         return array("I", self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
 
-    def ids(self, text: str) -> bytes:
-        return b"".join(map(self.pieces.__getitem__, text.replace("\n", " ").split(" ")))
+    def _plain(self, text: str) -> bool:
+        return self.direct and _PLAIN.fullmatch(text) is not None and "<|" not in text
+
+    def _many(self, texts: list[str]) -> list[bytes]:
+        """Ids of plain texts: each distinct part of all is looked up once."""
+        data = " ".join(texts).lower().encode("latin-1")
+        starts, ends = parts_of(data)
+        if not len(starts):
+            return [b""] * len(texts)
+        sizes = ends - starts
+        power = np.cumprod(np.append(np.uint64(1), np.full(int(sizes.max()) - 1, _POWER)))
+        byte = _CHARS[np.frombuffer(data, np.uint8)[starts[0] :]]
+        offset = np.arange(starts[0], len(data)) - np.repeat(starts, np.diff(np.append(starts, len(data))))
+        byte *= power[np.minimum(offset, len(power) - 1)]
+        code = np.add.reduceat(byte, starts - starts[0]) + sizes.astype(np.uint64) * _POWER
+        _, first, of = np.unique(code, return_index=True, return_inverse=True)
+        found = list(map(self.parts.__getitem__, [data[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]))
+        pool = np.frombuffer(b"".join(found), "<u4")
+        lengths = np.fromiter(map(len, found), np.int64, len(found)) >> 2
+        before = (np.cumsum(lengths) - lengths)[of]
+        lengths = lengths[of]
+        stops = np.cumsum(lengths)
+        ids = pool[np.repeat(before - stops + lengths, lengths) + np.arange(stops[-1])].tobytes()
+        # A text's ids end with those of its last part.
+        cuts = np.append(0, stops)[np.searchsorted(starts, np.cumsum([len(t) + 1 for t in texts]))] * 4
+        return [ids[a:b] for a, b in zip([0, *cuts[:-1].tolist()], cuts.tolist(), strict=True)]
+
+    def ids(self, texts: list[str]) -> Iterator[bytes]:
+        """The ids of each text, in order; plain texts that follow one another are taken together up to RUN_CHARS."""
+        held: list[str] = []
+        size = 0
+        for text in texts:
+            if self._plain(text) and (not held or size + len(text) <= RUN_CHARS):
+                held.append(text)
+                size += len(text)
+                continue
+            if held:
+                yield from self._many(held)
+                held, size = [], 0
+            if self._plain(text):
+                held, size = [text], len(text)
+            else:
+                yield b"".join(map(self.pieces.__getitem__, text.replace("\n", " ").split(" ")))
+        if held:
+            yield from self._many(held)
+
+
+#: The last encoder that this worker process used, by its tokenizer's file: later tasks start with what it knows.
+_HELD: dict[str, WordEncoder] = {}
+
+
+def encoder(spec: str) -> WordEncoder:
+    if spec not in _HELD:
+        _HELD.clear()
+        _HELD[spec] = WordEncoder(spec)
+    return _HELD[spec]
 
 
 def _writer(spec: str, bits: int, end_id: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches):
         from pyspark import TaskContext
-        from tokenizers import Tokenizer
 
-        encoder = WordEncoder(Tokenizer.from_str(spec), spec)
+        encode_ = encoder(spec).ids
         shard, block, first = TaskContext.get().partitionId(), 0, 0
         end = np.asarray([end_id], "<u4").tobytes()
         held: list[bytes] = []
@@ -139,8 +228,8 @@ def _writer(spec: str, bits: int, end_id: int) -> Callable[[Iterator[pa.RecordBa
             return row
 
         for batch in slices(batches):
-            for doc, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                data = encoder.ids(raw.decode("utf-8", "replace")) + end
+            for doc, data in zip(batch.column(0).to_pylist(), encode_([raw.decode("utf-8", "replace") for raw in batch.column(1).to_pylist()]), strict=True):
+                data += end
                 names.append(doc)
                 starts.append(size)
                 held.append(data)
