@@ -2,17 +2,16 @@
 
 A text is the mean of the embeddings of its words' byte n-grams (2 to 4 bytes between word marks, hashed to 2**15 rows).
 Embeddings and softmax are trained by stochastic gradient descent in numpy on a bounded sample of labelled documents; another
-part of the sample sets the temperature of the softmax and the confidence below which a document is rejected. As the softmax is
-linear in the mean, scoring needs one row of class weights for each bucket.
+part of the sample sets the temperature of the softmax and the confidence below which a document is rejected. Every language that
+occurs is learned: the model has a column of DIMENSIONS weights for each.
 
 Nulls and edge cases: a null text, or one without a letter, is `und` with score 0 and rejected; rows with a null lang are
-predicted but never learned from; a null doc_id is a document like any other; without labelled documents all are `und`; repeated rows
+predicted but never learned from; rows with a null doc_id are predicted, not learned from; rows that share a doc_id are learned from once; without labelled documents all are `und`; repeated rows
 each give a row; empty tables give an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,53 +20,60 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_hash, slices, table, text_bytes, word_grams
+from .common import id_hash, one_each, runs, sample_ids, slices, table, text_bytes, word_grams
 
 BITS = 15
 LENGTHS = (2, 3, 4)
 DIMENSIONS = 16
-#: Labelled documents to learn from, shared evenly among the languages, and how many languages there may be.
+#: Labelled documents to learn from, shared evenly among all the languages, each with at least one.
 SAMPLE = 2400
-LANGUAGES = 200
-#: Words whose class weights a worker keeps at hand.
-CACHE_WORDS = 200_000
 UNKNOWN = "und"
 
 
 @dataclass
 class Model:
     languages: list[str]
-    weights: np.ndarray  # (buckets, languages): embedding times softmax weights
+    embed: np.ndarray  # (buckets, DIMENSIONS)
+    soft: np.ndarray  # (DIMENSIONS, languages)
     bias: np.ndarray
     temperature: float
     threshold: float
 
-
-def sample_ids(rows: DataFrame, label: str, sample: int, labels: int, salts: int = 8) -> DataFrame:
-    """Ids of about `sample` rows at most, shared evenly among up to `labels` labels: those with the least hashes. Hot labels are ranked in salted parts."""
-    from pyspark.sql import Window
-
-    most = [r[0] for r in rows.groupBy(label).count().orderBy(F.desc("count"), label).limit(labels).collect()]
-    per_label = -(-sample // max(1, len(most)))
-    hashed = rows.select("doc_id", label).where(F.col(label).isin(most)).withColumn("h", F.xxhash64(F.col("doc_id"), F.lit("sample"))).withColumn("s", F.pmod("h", F.lit(salts)))
-    part = -(-per_label // salts)
-    ranked = hashed.withColumn("k", F.row_number().over(Window.partitionBy(label, "s").orderBy("h", "doc_id"))).where(F.col("k") <= part)
-    return ranked.select("doc_id", label)
+    def logits(self, texts: list[bytes]) -> np.ndarray:
+        shares = bucket_shares([t.lower() for t in texts])
+        hidden = np.asarray([share.astype(np.float32) @ self.embed[at] for at, share in shares], np.float32).reshape(-1, self.embed.shape[1])
+        return hidden @ self.soft + self.bias
+
+
+def bucket_shares(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(buckets, their shares of the n-grams) of each text; at most 2**BITS of them."""
+    out = []
+    held: dict[int, np.ndarray] = {}
+    at = -1
+
+    def finish() -> None:
+        total = held.pop(at)
+        buckets = np.flatnonzero(total)
+        out.append((buckets, total[buckets] / max(1, total.sum())))
+
+    for owners, pieces in runs(texts):
+        grams = [(b, c.tolist()) for b, c in word_grams(pieces, LENGTHS, BITS)]
+        for k, owner in enumerate(owners):
+            if owner != at:
+                if at >= 0:
+                    finish()
+                at = owner
+            own = np.bincount(np.concatenate([b[c[k] : c[k + 1]] for b, c in grams]), minlength=1 << BITS)
+            held[at] = held[at] + own if at in held else own
+    if at >= 0:
+        finish()
+    return out
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Buckets and counts of each sampled text; a text has at most 2**BITS of them."""
     for batch in slices(batches, rows=64):
-        rows = []
-        for text, lang, part in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-            counts = Counter(text.lower().split())
-            if not counts:
-                continue
-            grams, of = word_grams(list(counts), LENGTHS, BITS)
-            times = np.fromiter(counts.values(), np.float64, len(counts))
-            total = np.bincount(grams, times[of], 1 << BITS)
-            at = np.flatnonzero(total)
-            rows.append((lang, part, at.astype("<u4").tobytes(), (total[at] / total.sum()).astype("<f4").tobytes()))
+        texts = [t.lower() for t in batch.column(0).to_pylist()]
+        rows = [(lang, part, at.astype("<u4").tobytes(), share.astype("<f4").tobytes()) for lang, part, (at, share) in zip(*(batch.column(k).to_pylist() for k in (1, 2)), bucket_shares(texts), strict=True) if len(at)]
         columns = list(zip(*rows, strict=True)) if rows else [()] * 4
         yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.binary()), pa.array(columns[3], pa.binary())], names=["lang", "part", "at", "share"])
 
@@ -77,8 +83,8 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def train(examples: list[tuple[int, np.ndarray, np.ndarray]], classes: int, epochs: int = 6, rate: float = 0.5, size: int = 16, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
-    """SGD over (class, buckets, shares); the class weights of every bucket, and the bias."""
+def train(examples: list[tuple[int, np.ndarray, np.ndarray]], classes: int, epochs: int = 6, rate: float = 0.5, size: int = 16, seed: int = 7) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """SGD over (class, buckets, shares): the embeddings, the softmax weights and the bias."""
     rng = np.random.default_rng(seed)
     embed = rng.uniform(-0.5, 0.5, (1 << BITS, DIMENSIONS)).astype(np.float32) / DIMENSIONS
     soft, bias = np.zeros((DIMENSIONS, classes), np.float32), np.zeros(classes, np.float32)
@@ -106,7 +112,7 @@ def train(examples: list[tuple[int, np.ndarray, np.ndarray]], classes: int, epoc
             bias -= lr * gap.sum(0) / len(rows)
             # The steps of rare buckets are small, as shares are: scaled up by the usual number of buckets of a text.
             np.add.at(embed, at, -lr * 50 * share * back[of])
-    return embed @ soft, bias
+    return embed, soft, bias
 
 
 def calibrate(logits: np.ndarray, y: np.ndarray, lost: float = 0.001) -> tuple[float, float]:
@@ -123,72 +129,43 @@ def fit(docs: DataFrame, usable: Column | None = None, sample: int = SAMPLE) ->
     """Learn from rows of docs (doc_id, text, lang) that `usable` allows."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
     rows = rows.where(usable) if usable is not None else rows
-    ids = sample_ids(rows, "lang", sample, LANGUAGES)
+    ids = sample_ids(rows, "lang", sample)
     # The ids are few by the sample's own bound; texts stay on the executors.
-    chosen = rows.select("doc_id", "text", "lang").join(F.broadcast(ids.select("doc_id").distinct()), "doc_id", "left_semi")
+    chosen = one_each(rows.select("doc_id", "text", "lang").join(F.broadcast(ids.select("doc_id").distinct()), "doc_id", "left_semi"))
     part = F.when(F.pmod(F.xxhash64(F.lit("part"), F.col("doc_id")), F.lit(5)) == 0, 1).otherwise(0).cast("int")
     got = chosen.select(text_bytes().alias("text"), "lang", part.alias("part")).mapInArrow(_features, "lang string, part int, at binary, share binary").collect()
     got = sorted(got, key=lambda r: (r.lang, r.part, r.at))
     languages = sorted({r.lang for r in got})
     if not languages:
-        return Model([], np.zeros((1 << BITS, 1), np.float32), np.zeros(1, np.float32), 1.0, 0.0)
-    data = [(languages.index(r.lang), np.frombuffer(r.at, "<u4"), np.frombuffer(r.share, "<f4")) for r in got]
-    learn = [d for d, r in zip(data, got, strict=True) if not r.part] or data
-    weights, bias = train(learn, len(languages))
-    check = [d for d, r in zip(data, got, strict=True) if r.part]
-    logits = np.asarray([(weights[at] * share[:, None]).sum(0) + bias for _, at, share in check]).reshape(-1, len(languages))
+        return Model([], np.zeros((1 << BITS, 1), np.float32), np.zeros((1, 1), np.float32), np.zeros(1, np.float32), 1.0, 0.0)
+    number = {x: k for k, x in enumerate(languages)}
+    data = [(number[r.lang], np.frombuffer(r.at, "<u4"), np.frombuffer(r.share, "<f4")) for r in got]
+    learned = {r.lang for r in got if not r.part}
+    # A language that has rows to hold back only is learned from those.
+    learn = [d for d, r in zip(data, got, strict=True) if not r.part or r.lang not in learned]
+    embed, soft, bias = train(learn, len(languages))
+    check = [d for d, r in zip(data, got, strict=True) if r.part and r.lang in learned]
+    logits = np.asarray([share @ embed[at] for _, at, share in check], np.float32).reshape(-1, DIMENSIONS) @ soft + bias
     temperature, threshold = calibrate(logits, np.asarray([c for c, _, _ in check], int))
-    return Model(languages, weights.astype(np.float32), bias.astype(np.float32), temperature, threshold)
-
-
-class Scorer:
-    """Sums of class weights over the n-grams of texts, with the words' sums kept at hand."""
-
-    def __init__(self, model: Model):
-        self.model = model
-        self.slots: dict[bytes, int] = {}
-        self.rows = np.zeros((CACHE_WORDS + 1, model.weights.shape[1] + 1), np.float32)
-
-    def _learn(self, words: list[bytes]) -> None:
-        grams, of = word_grams(words, LENGTHS, BITS)
-        at = len(self.slots)
-        to = slice(at, at + len(words))
-        for k in range(self.model.weights.shape[1]):
-            self.rows[to, k] = np.bincount(of, self.model.weights[grams, k], len(words))
-        self.rows[to, -1] = np.bincount(of, minlength=len(words))
-        self.slots.update(zip(words, range(at, at + len(words)), strict=True))
-
-    def logits(self, text: bytes) -> np.ndarray:
-        counts = Counter(text.lower().split())
-        names = list(counts)
-        total = np.zeros(self.rows.shape[1])
-        for k in range(0, len(names), 50_000):
-            part = names[k : k + 50_000]
-            missing = [w for w in part if w not in self.slots]
-            if len(self.slots) + len(missing) > CACHE_WORDS:
-                self.slots.clear()
-                missing = part
-            if missing:
-                self._learn(missing)
-            at = np.fromiter(map(self.slots.__getitem__, part), np.int64, len(part))
-            total += np.fromiter(map(counts.__getitem__, part), np.float64, len(part)) @ self.rows[at]
-        return total[:-1] / max(total[-1], 1) + self.model.bias
+    return Model(languages, embed, soft, bias, temperature, threshold)
 
 
 def predict(docs: DataFrame, model: Model, fold: Column | None = None) -> DataFrame:
     """Per document: doc_id, held_out (as `fold` says), lang_pred, score (calibrated probability) and rejected."""
-    held = docs.sparkSession.sparkContext.broadcast(model)  # 2**BITS rows of at most LANGUAGES numbers
+    held = docs.sparkSession.sparkContext.broadcast(model)  # 2**BITS rows of DIMENSIONS numbers, and as many for each language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
-        scorer = Scorer(model)
         for batch in slices(batches):
             rows = []
-            for raw, letters in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                if not letters or not model.languages:
+            letters = batch.column(2).to_pylist()
+            known = [bool(x) and bool(model.languages) for x in letters]
+            each = iter(_softmax(model.logits([t for t, x in zip(batch.column(1).to_pylist(), known, strict=True) if x]) / model.temperature)) if any(known) else iter(())
+            for x in known:
+                if not x:
                     rows.append((UNKNOWN, 0.0, True))
                     continue
-                p = _softmax(scorer.logits(raw)[None, :] / model.temperature)[0]
+                p = next(each)
                 best = int(p.argmax())
                 rows.append((model.languages[best], round(float(p[best]), 6), bool(p[best] < model.threshold)))
             langs, scores, rejected = zip(*rows, strict=True) if rows else ((), (), ())
@@ -202,18 +179,22 @@ def predict(docs: DataFrame, model: Model, fold: Column | None = None) -> DataFr
 
 
 def accepted(docs: DataFrame, model: Model) -> DataFrame:
-    """The documents that the model doesn't reject, with all their columns."""
+    """The documents that the model doesn't reject, with all their columns. A model without languages has nothing to go by: it
+    rejects only texts without a letter."""
     held = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
-        scorer = Scorer(model)
         for batch in slices(batches):
-            keep = []
-            for text in batch.column(at).to_pylist():
-                letters = bool(text) and any(map(str.isalpha, text))
-                keep.append(letters and bool(model.languages) and float(_softmax(scorer.logits(text.encode())[None, :] / model.temperature).max()) >= model.threshold)
+            keep = np.zeros(batch.num_rows, bool)
+            texts = [t or "" for t in batch.column(at).to_pylist()]
+            tried = [k for k, t in enumerate(texts) if any(map(str.isalpha, t))]
+            if tried and not model.languages:
+                keep[tried] = True
+            elif tried:
+                p = _softmax(model.logits([texts[k].encode() for k in tried]) / model.temperature)
+                keep[tried] = p.max(axis=1) >= model.threshold
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -12,18 +12,17 @@ learned from once, with its least label; repeated documents each give a row; emp
 
 from __future__ import annotations
 
-import re
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Recent, id_hash, slices, table, text_bytes, word_grams
-from .language_id import sample_ids
+from .common import id_hash, one_each, runs, sample_ids, slices, table, text_bytes, word_grams
 
 GRAM_BITS = 16
 SHAPE_BITS = 14
@@ -33,51 +32,55 @@ SAMPLE = 3000
 KEEP = 0.7
 #: Letters and digits by kind; other bytes stand for themselves.
 _KINDS = bytes(ord("X") if 65 <= b <= 90 else ord("x") if 97 <= b <= 122 or b >= 128 else ord("9") if 48 <= b <= 57 else b for b in range(256))
-_AGAIN = re.compile(rb"(.)\1+", re.DOTALL)
-
-
-class Features:
-    """The sorted numbers of a text's n-grams; what words give is kept at hand."""
-
-    def __init__(self):
-        self.grams = Recent(self._grams, 150_000)
-        self.shapes = Recent(self._shape, 150_000)
-
-    def _grams(self, word: bytes) -> np.ndarray:
-        return np.unique(word_grams([word], LENGTHS, GRAM_BITS)[0]).astype(np.int32)
-
-    def _learn(self, words: set[bytes]) -> None:
-        missing = [w for w in words if w not in self.grams and w not in self.grams.old and len(w) <= 40]
-        if len(missing) > 4:
-            grams, of = word_grams(missing, LENGTHS, GRAM_BITS)
-            order = np.argsort(of, kind="stable")
-            pieces = np.split(grams[order].astype(np.int32), np.cumsum(np.bincount(of, minlength=len(missing)))[:-1])
-            known = dict(zip(missing, pieces, strict=True))
-            self.grams.compute = known.__getitem__
-            for w in missing:
-                self.grams[w]
-            self.grams.compute = self._grams
-
-    def _shape(self, word: bytes) -> int:
-        return zlib.crc32(_AGAIN.sub(rb"\1", word.translate(_KINDS))[:12])
-
-    def of(self, text: bytes) -> np.ndarray:
-        words = text.split()
-        if not words:
-            return np.zeros(0, np.int32)
-        distinct = set(words)
-        self._learn(distinct)
-        mark = np.zeros(1 << GRAM_BITS, bool)
-        mark[np.concatenate([self.grams[w] for w in distinct])] = True
-        shape = np.fromiter(map(self.shapes.__getitem__, words), np.uint32, len(words))
-        same = np.fromiter((a == b for a, b in zip(words[1:], words, strict=False)), bool, len(words) - 1)
-        shape[1:] ^= same.astype(np.uint32) * np.uint32(0x5BD1E995)
-        seen = np.zeros(1 << SHAPE_BITS, bool)
+
+
+def _shapes(piece: bytes) -> np.ndarray:
+    """A hash of each word's whole shape: kinds of characters, runs of one kind as one."""
+    kinds = np.frombuffer(piece.translate(_KINDS), np.uint8)
+    if not len(kinds):
+        return np.zeros(0, np.uint32)
+    once = kinds[np.append(True, kinds[1:] != kinds[:-1])].tobytes().split()
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, once), np.uint64, len(once)).astype(np.uint32)
+
+
+def features(texts: list[bytes]) -> list[np.ndarray]:
+    """The sorted numbers of each text's n-grams."""
+    out: list[np.ndarray] = []
+    mark = np.zeros(1 << GRAM_BITS, bool)
+    seen = np.zeros(1 << SHAPE_BITS, bool)
+    shapes: list[np.ndarray] = []
+    last: bytes | None = None
+    at = -1
+
+    def finish() -> None:
+        nonlocal shapes, last
+        shape = np.concatenate(shapes) if shapes else np.zeros(0, np.uint32)
         code = np.zeros(len(shape), np.uint32)
-        for n in range(3):
+        for n in range(min(3, len(shape))):
             code = (code[: len(shape) - n] ^ shape[n:]) * np.uint32(0x9E3779B1) + np.uint32(n)
             seen[code >> np.uint32(32 - SHAPE_BITS)] = True
-        return np.concatenate([np.flatnonzero(mark), np.flatnonzero(seen) + (1 << GRAM_BITS)]).astype(np.int32)
+        out.append(np.concatenate([np.flatnonzero(mark), np.flatnonzero(seen) + (1 << GRAM_BITS)]).astype(np.int32))
+        mark[:] = False
+        seen[:] = False
+        shapes, last = [], None
+
+    for owners, pieces in runs(texts):
+        grams = list(word_grams(pieces, LENGTHS, GRAM_BITS))
+        for k, (owner, piece) in enumerate(zip(owners, pieces, strict=True)):
+            if owner != at:
+                if at >= 0:
+                    finish()
+                at = owner
+            for buckets, cuts in grams:
+                mark[buckets[cuts[k] : cuts[k + 1]]] = True
+            words = piece.split()
+            if words:
+                same = np.fromiter(map(eq, words, [last, *words[:-1]]), bool, len(words))
+                shapes.append(_shapes(piece) ^ same.astype(np.uint32) * np.uint32(0x5BD1E995))
+                last = words[-1]
+    if at >= 0:
+        finish()
+    return out
 
 
 @dataclass
@@ -170,9 +173,8 @@ def train(rows: list[np.ndarray], y: np.ndarray, back: np.ndarray) -> Model:
 
 
 def _collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    features = Features()
     for batch in slices(batches, rows=64):
-        got = [features.of(t).astype("<i4").tobytes() for t in batch.column(0).to_pylist()]
+        got = [at.astype("<i4").tobytes() for at in features(batch.column(0).to_pylist())]
         yield pa.RecordBatch.from_arrays([pa.array(got, pa.binary()), batch.column(1), batch.column(2)], names=["at", "quality", "back"])
 
 
@@ -180,9 +182,10 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, sample
     """Learn from documents whose labels (doc_id, quality) are 0 or 1 and whose doc_id `usable` allows."""
     sure = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1))
     sure = (sure.where(usable) if usable is not None else sure).groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
-    ids = sample_ids(sure, "quality", sample, 2)  # few rows, by the sample's own bound
+    ids = sample_ids(sure, "quality", sample)  # few rows, by the sample's own bound
     back = (F.pmod(F.xxhash64(F.lit("back"), F.col("doc_id")), F.lit(4)) == 0).alias("back")
-    got = docs.select("doc_id", text_bytes().alias("text")).join(F.broadcast(ids), "doc_id").select("text", "quality", back).mapInArrow(_collect, "at binary, quality int, back boolean").collect()
+    chosen = one_each(docs.select("doc_id", text_bytes().alias("text")).join(F.broadcast(ids), "doc_id"))
+    got = chosen.select("text", "quality", back).mapInArrow(_collect, "at binary, quality int, back boolean").collect()
     got = sorted(got, key=lambda r: (r.quality, r.back, r.at))
     return train([np.frombuffer(r.at, "<i4") for r in got], np.asarray([r.quality for r in got], int), np.asarray([r.back for r in got], bool))
 
@@ -191,9 +194,9 @@ def score_documents(docs: DataFrame, model: Model, fold: Column | None = None, k
     held = docs.sparkSession.sparkContext.broadcast(model)  # two numbers for each bucket
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, features = held.value, Features()
+        model = held.value
         for batch in slices(batches):
-            scores = [round(model.score(features.of(t)), 6) for t in batch.column(1).to_pylist()]
+            scores = [round(model.score(at), 6) for at in features(batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(scores, pa.float64()), pa.array([int(s >= keep) for s in scores], pa.int32())], names=["doc_id", "held_out", "score", "predicted"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"), (fold if fold is not None else F.lit(False)).alias("held_out"))

@@ -10,7 +10,6 @@ never trusted; repeated rows each count and give a row; empty tables give an emp
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Recent, slices, table, text_bytes, with_labels, word_grams
+from .common import runs, slices, sums, table, text_bytes, with_labels, word_grams
 
 BITS = 16
 LENGTHS = (2, 3, 4)
@@ -34,23 +33,14 @@ SYMBOLS = tuple(bytes([b]) for b in b"#*$%&|<>")
 def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(trusted, bucket, n): what each task counts, at most 2 * 2**BITS rows."""
     totals = [np.zeros(1 << BITS, np.int64) for _ in range(2)]
-    words: list[Counter] = [Counter(), Counter()]
-
-    def fold(k: int) -> None:
-        if words[k]:
-            grams, of = word_grams(list(words[k]), LENGTHS, BITS)
-            times = np.fromiter(words[k].values(), np.int64, len(words[k]))
-            totals[k][:] += np.bincount(grams, times[of], 1 << BITS).astype(np.int64)
-            words[k].clear()
-
     for batch in slices(batches):
-        for text, trusted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            words[trusted].update(text.split())
-        for k in range(2):
-            if len(words[k]) > 100_000:
-                fold(k)
+        trusted = np.asarray(batch.column(1).to_pylist(), int)
+        for owners, pieces in runs(batch.column(0).to_pylist()):
+            sure = trusted[owners]
+            for kind in np.unique(sure).tolist():
+                for buckets, _ in word_grams([p for p, t in zip(pieces, sure, strict=True) if t == kind], LENGTHS, BITS):
+                    totals[kind] += np.bincount(buckets, minlength=1 << BITS)
     for k in range(2):
-        fold(k)
         at = np.flatnonzero(totals[k])
         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k, np.int32)), pa.array(at), pa.array(totals[k][at])], names=["trusted", "bucket", "n"])
 
@@ -103,43 +93,28 @@ def base_counts(text: bytes, words: list[bytes]) -> tuple[int, int, int, int]:
     return chars, symbols, repeats, repeated
 
 
-class Ratio:
-    """The sum of a word's log ratios, and how many n-grams it has."""
-
-    def __init__(self, ratios: np.ndarray):
-        self.ratios = ratios
-        self.cache = Recent(self._word, 150_000)
-
-    def _word(self, word: bytes) -> complex:
-        grams, _ = word_grams([word], LENGTHS, BITS)
-        return complex(float(self.ratios[grams].sum()), len(grams))
-
-    def score(self, words: list[bytes]) -> float:
-        counts = Counter(words)
-        missing = [w for w in counts if w not in self.cache]
-        if len(missing) > 4:  # n-grams of many words at once
-            grams, of = word_grams(missing, LENGTHS, BITS)
-            sums, sizes = np.bincount(of, self.ratios[grams], len(missing)), np.bincount(of, minlength=len(missing))
-            known = dict(zip(missing, (complex(a, b) for a, b in zip(sums.tolist(), sizes.tolist(), strict=True)), strict=True))
-            self.cache.compute = lambda w: known[w] if w in known else self._word(w)
-        total = sum(self.cache[w] * n for w, n in sorted(counts.items()))
-        self.cache.compute = self._word
-        return total.real / total.imag if total else 0.0
+def mean_ratios(ratios: np.ndarray, texts: list[bytes]) -> np.ndarray:
+    """Each text's mean log ratio over its n-grams, 0 without any."""
+    total, count = np.zeros(len(texts)), np.zeros(len(texts))
+    for owners, pieces in runs(texts):
+        for buckets, cuts in word_grams(pieces, LENGTHS, BITS):
+            np.add.at(total, owners, sums(ratios[buckets], cuts))
+            np.add.at(count, owners, np.diff(cuts))
+    return total / np.maximum(count, 1)
 
 
 def score_documents(docs: DataFrame, ratios: np.ndarray, threshold: float = THRESHOLD) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(ratios)  # 2**BITS doubles
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ratio = Ratio(held.value)
         for batch in slices(batches):
-            rows = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            rows, texts = [], batch.column(1).to_pylist()
+            scores = mean_ratios(held.value, texts).round(9).tolist()
+            for doc, text, score in zip(batch.column(0).to_pylist(), texts, scores, strict=True):
                 words = text.split()  # bytes split at just the six white-space bytes
                 chars, symbols, lines, repeated = base_counts(text, words)
                 n = len(words)
                 failed = n < 50 or 100 * repeated > 50 * n
-                score = round(ratio.score(words), 9)
                 rows.append((doc, n, chars, symbols, lines, repeated, failed, not failed and score >= threshold, score))
             kinds = [pa.int64()] * 6 + [pa.bool_()] * 2 + [pa.float64()]
             columns = list(zip(*rows, strict=True)) if rows else [()] * 9
