@@ -5,11 +5,14 @@ Every document is a catalogue entry (its text the title, its source and language
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize
 from ..operators import search
+from ..scratch import folder
 
 AS_OF = 2026
 TYPE_NAMES = ("Tv", "Movie", "Ova", "Ona", "Special", "Unknown")
@@ -52,8 +55,15 @@ def source(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_INDEXES: dict[tuple[str, str], search.Index] = {}
+
+
 def index(spark: SparkSession, sf_dir: str) -> search.Index:
-    return search.build(catalog(spark, sf_dir))
+    """The catalogue's index, written once for an application and then read."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _INDEXES:
+        _INDEXES[key] = search.build(catalog(spark, sf_dir)).write(f"{folder(spark)}/index-{uuid.uuid4().hex[:12]}")
+    return _INDEXES[key]
 
 
 def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
