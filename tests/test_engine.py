@@ -5,7 +5,8 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from titlelink.errors import BadJson, EmptyCatalog, NotLoaded, OutOfIndex, PrivateList, SourceRejected, StaleVersion
+from titlelink.errors import BadJson, BadPage, Cancelled, EmptyCatalog, NotLoaded, OutOfIndex, PrivateList, SourceRejected, StaleVersion
+from titlelink.functions import text as X
 from titlelink.operators import match, merge, review, score, search
 from titlelink.plans.engine import Cell, Engine
 from titlelink.sinks import export
@@ -191,7 +192,7 @@ B_CARD = '<div class="categories"><div class="title"><p class="label"><a href="/
 def test_source_b(spark):
     page = lambda *cards: '<div class="user-activity">' + "".join(B_CARD.format(s=s, t=t, r=r) for s, t, r in cards) + "</div>"
     rows = spark.createDataFrame([("plans", 2, 1, page(("x", "X", 3), ("y", "Y", 4))), ("rated", 0, 1, page(("x", "X!", 8)))], "section string, section_pos int, page int, html string")
-    detail = '<a class="mal-link" href="https://myanimelist.net/anime/42/x">m</a><table><tr><td>Rok produkcji:</td><td>2010</td></tr><tr><td>Rodzaj</td><td>TV</td></tr><tr><td>1</td><td><a href="/odcinek/1">o</a></td></tr></table>'
+    detail = '<a class="mal-link" href="https://myanimelist.net/anime/42/x">m</a><table><tr><td>Rok produkcji</td><td>2010</td></tr><tr><td>Rodzaj</td><td>TV</td></tr><tr><td>1</td><td><a href="/odcinek/0">x</a></td></tr></table><table class="episodes"><tbody><tr><td>1</td><td><a href="/odcinek/1">o</a></td></tr><tr><td>2</td></tr></tbody></table>'
     got = {r.title: r for r in lists.b_list(rows, spark.createDataFrame([("x", detail)], "slug string, html string")).collect()}
     assert set(got) == {"X!", "Y"}
     x = got["X!"]
@@ -202,14 +203,56 @@ def test_source_b(spark):
 def test_source_c(spark):
     row = '<tr id="anime_list_item_{i}"><td>1</td><td><img></td><td><a href="/anime/s{i}">{t}</a></td><td>{s}</td><td>{r}</td><td><span>238</span> / <span>238</span> odc.</td><td>ONA</td></tr>'
     html = '<table id="my_anime_table"><tbody>' + row.format(i=7, t="D D", s="Nie oglądam", r="") + row.format(i=8, t="E", s="Obejrzane", r="9") + "</tbody></table>"
-    detail = '<span class="badge">ONA</span><p class="m-0">Odcinki: 52 odc.</p><p class="m-0">Status: Zakończone</p><p class="m-0">Start emisji: 2018-01-20</p>'
-    tip = json.dumps({"data": '<div><h5>E 2nd Season | 斗罗大陆 第二季</h5><p><i class="fa fa-play"></i> 238 odc.</p></div>'})
+    detail = '<div class="outlines"><span class="btn-outline-warning">ONA</span></div><span class="badge">TV</span><p class="m-0">Odcinki: 52 odc.</p><p class="m-0">Status: Zakończone</p><p class="m-0">Start emisji: 2018-01-20</p>'
+    tip = json.dumps({"data": '<div><h5>E | 別</h5><span class="badge badge-warning">ONA</span><small class="text-trim">E 2nd Season | 斗罗大陆 第二季</small><p><i class="fa fa-play"></i> 238 odc.</p><small>Status: Emitowane</small><small>Koniec emisji: 2020-02-03</small></div>'})
     got = {r.id: r for r in lists.c_list(spark.createDataFrame([(1, html)], "page int, html string"), spark.createDataFrame([(7, detail)], "id long, html string"), spark.createDataFrame([(8, tip)], "id long, body string")).collect()}
     assert (got[7].episodes, got[7].watched_episodes, got[7].status, str(got[7].date), got[7].watch_status, got[7].score) == (52, 52, "Finished", "2018-01-20", "Dropped", None)
     assert (got[8].episodes, got[8].watch_status, got[8].score, got[8].anime_type) == (238, "Completed", 9, "Ona")
+    assert (got[8].status, str(got[8].finish_date), got[7].anime_type) == ("Ongoing", "2020-02-03", "Ona")
     with pytest.raises(PrivateList):
         pages.c_list("x " + pages.PRIVATE)
-    assert pages.c_tooltip(tip) == {"episodes": 238, "original_title": "斗罗大陆 第二季"}
+    read = pages.c_tooltip(tip)
+    assert (read["episodes"], read["original_title"], read["badge"]) == (238, "斗罗大陆 第二季", "ONA")
+
+
+def test_bad_pages():
+    rows = lambda row: f'<table id="my_anime_table"><tbody>{row}</tbody></table>'
+    cell = "<td>x</td>"
+    for bad in (f'<tr id="anime_list_item_1">{cell * 6}</tr>', f'<tr id="anime_list_item_x">{cell * 7}</tr>', f'<tr id="anime_list_item_1">{cell * 7}</tr>', f'<tr id="anime_list_item_1">{cell * 2}<td><a href="/anime/">t</a></td>{cell * 4}</tr>'):
+        with pytest.raises(BadPage):
+            pages.c_list(rows(bad))
+    assert pages.c_list(rows('<tr id="other"></tr>')) == [] and pages.c_list("") == []
+    for read, page in ((pages.b_detail, "<table><tr><td>Rodzaj</td><td>TV</td></tr></table>"), (pages.c_detail, '<p class="m-0">Status: Emitowane</p>'), (pages.c_tooltip, json.dumps({"data": "<p>x</p>"})), (pages.c_tooltip, "no json"), (pages.c_tooltip, "{}")):
+        with pytest.raises(BadPage):
+            read(page)
+    assert pages.b_detail("<table><tr><td>Rok produkcji</td><td>2010</td></tr></table>")["cells"] == [{"label": "Rok produkcji", "value": "2010"}]
+
+
+def test_strict_loads(spark):
+    df = spark.createDataFrame([("radio", "x")], "t string, n string")
+    for bad in (X.a_type("t"), X.a_status("t"), X.a_watch("t"), X.whole_number("n")):
+        with pytest.raises(Exception, match="unknown|not a whole"):
+            df.select(bad).collect()
+    assert df.select(X.whole_number(F.lit("12")), X.a_type(F.lit(None).cast("string"))).first()[:] == (12, None)
+
+
+def test_registered(spark):
+    from titlelink.functions.register import register
+
+    register(spark)
+    assert spark.sql("SELECT normalize_title('  Ā  Ｂ≠シンゲキ K ') AS t").first().t == spark.range(1).select(X.normalize_title(F.lit("  Ā  Ｂ≠シンゲキ K ")).alias("t")).first().t == "a =shingeki k"
+    assert spark.sql("SELECT title_metadata('snk season 2 part 3') AS m").first().m[:3] == (2.0, 3.0, None)
+    assert [r.gram for r in spark.sql("SELECT gram FROM trigrams('aaaa') ORDER BY pos").collect()] == ["^^a", "^aa", "aaa", "aa$", "a$$"]
+
+
+def test_paged_list(spark, tmp_path):
+    from titlelink.sources.paged import PagedList
+
+    for k in range(3):
+        (tmp_path / f"page-2-{2 * k}.json").write_text(json.dumps({"at": k}))
+    spark.dataSource.register(PagedList)
+    rows = spark.read.format("paged_list").option("url", f"file://{tmp_path}/page-{{limit}}-{{offset}}.json").option("total", 5).option("limit", 2).load()
+    assert rows.rdd.getNumPartitions() == 3 and {(r.page, r.offset, json.loads(r.body)["at"]) for r in rows.collect()} == {(0, 0, 0), (1, 2, 1), (2, 4, 2)}
 
 
 def test_throttle():
@@ -251,7 +294,10 @@ def test_review(spark):
     assert {tuple(r) for r in left.collect()} == {(5, 12)} and {r[0] for r in now.collect()} == {2, 3}
     assert review.clear_override(overrides, 3).count() == 1 and review.clear_override(overrides).count() == 0
     s = review.summary(state).first()
-    assert (s.total, s.automatic, s.manual, s.ignored, s.review, s.percentage) == (6, 0, 2, 1, 3, 50)
+    assert (s.total, s.automatic, s.manual, s.ignored, s.review, s.percentage) == (6, 0, 2, 1, 3, 33)
+    both = review.summary(review.effective(winners, overrides, overrides.select("source_id"))).first()  # an ignored row's override still counts as manual
+    assert (both.automatic, both.manual, both.ignored, both.review, both.percentage) == (0, 2, 2, 4, 33)
+    assert {r.source_id for r in review.view(state, "automatic").collect()} == {1, 2, 5, 6}  # ignored rows stay
 
 
 def test_review_file(tmp_path):
@@ -265,11 +311,31 @@ def test_review_file(tmp_path):
 
 
 def test_stream(spark, tmp_path):
-    from titlelink.streaming.incremental import match_stream, read_lists, winners
+    from titlelink.streaming.incremental import Progress, events, match_stream, read_lists, winners
 
     entries = spark.createDataFrame([(k, f"title {w}", [f"alias{w}"]) for k, w in enumerate("moon river stone garden winter night opera cowboy".split())], "id long, norm_title string, norm_synonyms array<string>").withColumns({"cons": F.expr("named_struct('season', cast(null as double), 'part', cast(null as double), 'episode', cast(null as double), 'is_final_season', false, 'is_final_part', false, 'is_final_episode', false)"), "year": F.lit(2020), "anime_type": F.lit("Tv"), "status": F.lit("Finished"), "season": F.lit("Spring"), "episodes": F.lit(12)})
     rows = source(spark, [(0, "title moon", None), (1, "title river", None)])
     rows.write.parquet(str(tmp_path / "in"))
-    q = match_stream(read_lists(spark, str(tmp_path / "in"), rows), entries, search.build(entries), str(tmp_path / "out"), str(tmp_path / "cp"), 2026, search.Options(5, 0.1))
+    told = []
+    progress = Progress(lambda *x: told.append(x))
+    progress.start(2)
+    q = match_stream(read_lists(spark, str(tmp_path / "in"), rows), entries, search.build(entries), str(tmp_path / "out"), str(tmp_path / "cp"), 2026, search.Options(5, 0.1), progress)
     q.awaitTermination(120)
+    assert told == [("list", 0, 2), ("details", 2, 2), ("storing", 2, 2), ("done", 2, 2)]
+    assert [(r.phase, r.entries) for r in events(spark, str(tmp_path / "out")).collect()] == [("details", 2), ("storing", 2)]
+    progress.cancel()
+    with pytest.raises(Cancelled):
+        progress.entries()
     assert winners(spark, str(tmp_path / "out")).where("is_winner").select("q", "id").orderBy("q").collect() == [(0, 0), (1, 1)]
+    # Rows linked directly keep their entry; what was searched loses only to what was searched.
+    scored = spark.createDataFrame([(0, 7, 1.0, True, True), (1, 7, 1.0, True, True), (2, 7, 0.9, True, False), (3, 7, 0.8, True, False)], "q long, id long, final_score double, is_winner boolean, is_direct boolean")
+    scored.write.parquet(str(tmp_path / "more"))
+    assert {r.q: r.is_winner for r in winners(spark, str(tmp_path / "more")).collect()} == {0: True, 1: True, 2: True, 3: False}
+
+
+def test_final_episode_needs_an_episode(spark):
+    """A candidate's last episode says nothing if the query has none."""
+    meta = "named_struct('season', cast(99 as double), 'part', cast(null as double), 'episode', cast({e} as double))"
+    cons = "named_struct('season', cast(null as double), 'part', cast(null as double), 'episode', cast(null as double), 'is_final_season', false, 'is_final_part', false, 'is_final_episode', true)"
+    got = [spark.range(1).select(F.expr(meta.format(e=e)).alias("m"), F.expr(cons).alias("c")).select(score.season_score(F.col("m"), F.col("c"))).first()[0] for e in ("null", "5")]
+    assert got == [0.4, 1.0]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterator
 from functools import cache
@@ -23,11 +24,11 @@ def col(c: Column | str) -> Column:
 
 @cache
 def _folds() -> tuple[str, str]:
-    """Composed letters whose decomposition begins with an ASCII letter, and those letters."""
+    """All characters whose canonical decomposition has an ASCII character, and those characters."""
     pairs = []
-    for point in chain(range(0xC0, 0x250), range(0x1E00, 0x1F00)):
-        base = unicodedata.normalize("NFD", chr(point))
-        if len(base) > 1 and base[0].isascii() and all(unicodedata.combining(c) for c in base[1:]):
+    for point in range(0x80, 0x10000):
+        base = [c for c in unicodedata.normalize("NFD", chr(point)) if c.isascii()]
+        if base:
             pairs.append((chr(point), base[0]))
     return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
 
@@ -82,6 +83,13 @@ def romanize(text: str) -> str:
     return "".join(out)
 
 
+def normalized(title: str) -> str:
+    """What normalize_title gives, for one text."""
+    text = romanize(title) if any("\u3040" <= c <= "\u30ff" for c in title) else title
+    kept = "".join(c for c in unicodedata.normalize("NFD", text) if c.isascii())
+    return " ".join(w for w in re.split(r"[ \t\n\x0B\f\r]+", kept) if w).lower()
+
+
 @F.pandas_udf(T.StringType())
 def _romanize(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for part in parts:
@@ -150,9 +158,22 @@ def _lookup(c: Column, table: dict[str, str], other: str | None = None) -> Colum
     return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), c), F.lit(other))
 
 
+def _known(c: Column, table: dict[str, str], name: str) -> Column:
+    """The table's value; a value that it doesn't have fails the load."""
+    return F.when(c.isNotNull() & _lookup(c, table).isNull(), F.raise_error(F.concat(F.lit(f"unknown {name}: "), c))).otherwise(_lookup(c, table))
+
+
+def whole_number(c: Column | str) -> Column:
+    """A number, or one written as text; anything else fails the load."""
+    read = col(c).try_cast("int")
+    return F.when(col(c).isNotNull() & read.isNull(), F.raise_error(F.concat(F.lit("not a whole number: "), col(c).cast("string")))).otherwise(read)
+
+
 def site_status(c: Column | str) -> Column:
     # The sites' words for an entry's state.
-    words = {"zakończone": "Finished", "zakonczone": "Finished", "emitowane": "Ongoing", "zapowiedź": "Upcoming", "zapowiedz": "Upcoming"}
+    words = {
+        "zakończone": "Finished", "zakonczone": "Finished", "emitowane": "Ongoing", "zapowiedź": "Upcoming", "zapowiedz": "Upcoming", "nadchodzące": "Upcoming", "nadchodzace": "Upcoming",
+    }
     return _lookup(F.lower(F.trim(col(c))), words)
 
 
@@ -167,15 +188,15 @@ def site_watch(c: Column | str) -> Column:
 
 
 def a_type(c: Column | str) -> Column:
-    return _lookup(col(c), {"Music": "Ova", "OVA": "Ova", "Special": "Special", "TV": "Tv", "ONA": "Ona", "Movie": "Movie"})
+    return _known(col(c), {"Music": "Ova", "OVA": "Ova", "Special": "Special", "TV": "Tv", "ONA": "Ona", "Movie": "Movie"}, "type")
 
 
 def a_status(c: Column | str) -> Column:
-    return _lookup(col(c), {"Finished Airing": "Finished", "Currently Airing": "Ongoing", "Proposal": "Upcoming", "Not yet aired": "Upcoming"})
+    return _known(col(c), {"Finished Airing": "Finished", "Currently Airing": "Ongoing", "Proposal": "Upcoming", "Not yet aired": "Upcoming"}, "state")
 
 
 def a_watch(c: Column | str) -> Column:
-    return _lookup(col(c), {"completed": "Completed", "plan": "PlanToWatch", "in progress": "Watching", "skip": "Dropped", "hold": "OnHold", "dropped": "Dropped"})
+    return _known(col(c), {"completed": "Completed", "plan": "PlanToWatch", "in progress": "Watching", "skip": "Dropped", "hold": "OnHold", "dropped": "Dropped"}, "watch state")
 
 
 def section_watch(c: Column | str) -> Column:

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..errors import NotLoaded, StaleVersion
+from ..errors import CatalogNotLoaded, ListNotLoaded, NotLoaded, StaleVersion
 from ..functions.text import normalize_title
 from ..functions.titles import title_meta
 from ..operators import match, merge, score, search
@@ -33,7 +33,7 @@ class Cell:
     def load(self) -> Snapshot:
         now = self._now
         if now is None:
-            raise NotLoaded(f"no {self.name} is loaded", what=self.name)
+            raise {"catalogue": CatalogNotLoaded, "list": ListNotLoaded}.get(self.name, NotLoaded)(f"no {self.name} is loaded", what=self.name)
         return now
 
     def store(self, value: object, expected: int | None = None) -> int:
@@ -62,6 +62,10 @@ class Engine:
     def catalog_metadata(self, path: str) -> dict:
         return {"last_update": catalogs.header(self.spark, path)["lastUpdate"]}
 
+    def check_catalog_update(self, local: dict | None, remote: dict | None) -> bool:
+        """Whether the release that a site tells of (release, sha256, compressed_size) is another than the one at hand."""
+        return catalogs.needs_update(local, remote)
+
     def load_catalog(self, path: str) -> int:
         catalogs.header(self.spark, path)
         rows = catalogs.load(self.spark, path).persist()

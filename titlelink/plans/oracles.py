@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from ..functions import labels
 from ..operators import score
-from . import demo
+from . import demo, queries
 from .queries import GOLDEN, LOOSE
 
 ORACLES: dict[str, str] = {}
@@ -115,7 +116,7 @@ pairs AS (SELECT k,
 def season_sql(season: str, part: str, episode: str, c_season: str, c_part: str, fs: str, fp: str, fe: str) -> str:
     sa, sb = f"trunc(coalesce({season}, {episode}, 1))", f"trunc(coalesce({c_season}, {episode}, 1))"
     fa = f"coalesce(coalesce({season}, {episode}) = 99, false)"
-    fb = f"CASE WHEN {c_season} IS NOT NULL THEN coalesce({fs}, false) ELSE coalesce({fe}, false) END"
+    fb = f"CASE WHEN {c_season} IS NOT NULL THEN coalesce({fs}, false) WHEN {episode} IS NOT NULL THEN coalesce({fe}, false) ELSE false END"
     return f"""least(1.0, greatest(0.0, round(0.5 + CASE WHEN {sa} = {sb} OR ({fa} AND {fb}) THEN 0.5 ELSE -0.4 END
       + CASE WHEN trunc(coalesce({part}, 1)) = trunc(coalesce({c_part}, 1)) OR (coalesce({part} = 99, false) AND coalesce({fp}, false)) THEN 0.3 ELSE -0.2 END, 9)))"""
 
@@ -240,13 +241,17 @@ ORACLES["status_label"] = f"""WITH {REVIEW} SELECT source_id, CASE WHEN is_ignor
   WHEN winner_id IS NOT NULL THEN 'matched' WHEN has_top THEN 'review' ELSE 'unmatched' END AS label FROM state"""
 ORACLES["views"] = f"""WITH {REVIEW}
 SELECT 'all' AS view, source_id, bucket::BIGINT AS bucket FROM state
-UNION ALL SELECT 'manual', source_id, bucket FROM state WHERE NOT is_ignored AND (bucket < 2 OR is_displaced OR override_id IS NOT NULL)
-UNION ALL SELECT 'automatic', source_id, bucket FROM state WHERE NOT is_ignored AND bucket = 2
+UNION ALL SELECT 'manual', source_id, bucket FROM state WHERE bucket < 2
+UNION ALL SELECT 'manual', source_id, bucket FROM state WHERE bucket = 2 AND (is_displaced OR override_id IS NOT NULL)
+UNION ALL SELECT 'automatic', source_id, bucket FROM state WHERE bucket = 2
 UNION ALL SELECT 'ignored', source_id, bucket FROM state WHERE is_ignored"""
 ORACLES["match_summary"] = f"WITH {REVIEW} SELECT count(*) AS total, count(winner_id) AS winners, count(*) FILTER (has_top) AS with_top, count(*) FILTER (winner_id IS NULL AND NOT has_top) AS unmatched FROM w"
-ORACLES["summary"] = f"""WITH {REVIEW}, c AS (SELECT count(*) AS total, count(*) FILTER (effective_id = winner_id AND override_id IS NULL) AS automatic, count(*) FILTER (override_id IS NOT NULL AND NOT is_ignored) AS manual,
-  count(*) FILTER (is_ignored) AS ignored FROM state)
-SELECT total, automatic, manual, ignored, greatest(0, total - automatic - manual - ignored) AS review, CASE WHEN automatic + manual + ignored >= total THEN 100 ELSE least(99, floor(100 * ((automatic + manual + ignored)::DOUBLE / total) + 0.5)) END::BIGINT AS percentage FROM c"""
+ORACLES["summary"] = f"""WITH {REVIEW},
+auto AS (SELECT source_id FROM w WHERE winner_id IS NOT NULL AND source_id NOT IN (SELECT source_id FROM ig) AND source_id NOT IN (SELECT source_id FROM o) AND source_id NOT IN (SELECT source_id FROM disp)),
+done AS (SELECT source_id FROM ig UNION SELECT source_id FROM o UNION SELECT source_id FROM auto),
+c AS (SELECT (SELECT count(*) FROM w) AS total, (SELECT count(*) FROM auto) AS automatic, (SELECT count(*) FROM w WHERE source_id IN (SELECT source_id FROM o)) AS manual,
+  (SELECT count(*) FROM w WHERE source_id IN (SELECT source_id FROM ig)) AS ignored, (SELECT count(*) FROM w WHERE source_id IN (SELECT source_id FROM done)) AS resolved)
+SELECT total, automatic, manual, ignored, greatest(0, total - resolved) AS review, CASE WHEN automatic + manual >= total THEN 100 ELSE least(99, floor(100 * ((automatic + manual)::DOUBLE / total) + 0.5)) END::BIGINT AS percentage FROM c"""
 ORACLES["winner_claims"] = f"WITH {REVIEW} SELECT effective_id AS catalog_id, string_agg(source_id::VARCHAR, ',' ORDER BY source_id) AS sources FROM state WHERE effective_id IS NOT NULL GROUP BY effective_id"
 ORACLES["conflicts"] = f"WITH {REVIEW} SELECT effective_id AS catalog_id, count(*) AS n FROM state WHERE effective_id IS NOT NULL GROUP BY effective_id HAVING count(*) > 1"
 ORACLES["prune_overrides"] = f"WITH {REVIEW} SELECT source_id, catalog_id FROM o WHERE source_id IN (SELECT doc_id FROM documents) AND catalog_id IN (SELECT p_partkey FROM part)"
@@ -261,3 +266,94 @@ e AS (SELECT i AS pair_pos, i * 10 AS series_animedb_id, i % 13 AS my_watched_ep
 ORACLES["export_rows"] = f"WITH {_EXPORT} SELECT * FROM e"
 _TAGS = " || ".join(f"'<{f}>' || replace(replace(replace({f}::VARCHAR, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</{f}>'" for f in ("series_animedb_id", "my_watched_episodes", "my_start_date", "my_finish_date", "my_score", "my_status", "my_comments", "update_on_import"))
 ORACLES["xml_lines"] = f"WITH {_EXPORT} SELECT pair_pos, '<anime>' || {_TAGS} || '</anime>' AS xml FROM e"
+
+# --- words, users and labels ---
+
+
+def picked(names: tuple[str, ...], k: str) -> str:
+    return "([" + ", ".join("'" + n.replace("'", "''") + "'" for n in names) + f"])[(({k}) % {len(names)}) + 1]"
+
+
+def words(x: str, table: dict[str, str], other: str = "NULL") -> str:
+    return f"CASE {x} " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in table.items()) + f" ELSE {other} END"
+
+
+ORACLES["loose_bools"] = f"SELECT o_orderkey AS k, CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE lower({picked(queries.BOOLS, 'o_orderkey')}) IN ('true', '1') END AS value FROM orders"
+ORACLES["site_words"] = f"""
+WITH r AS (SELECT o_orderkey AS k, lower(trim({picked(queries.TYPE_TEXTS, 'o_orderkey')})) AS t, lower(trim({picked(queries.WATCH_TEXTS, 'o_orderkey')})) AS w, lower(trim({picked(queries.STATUS_TEXTS, 'o_orderkey')})) AS s FROM orders)
+SELECT k, CASE WHEN t = 'tv' THEN 'Tv' WHEN t IN ('movie', 'film') THEN 'Movie' WHEN t = 'ova' THEN 'Ova' WHEN t = 'ona' THEN 'Ona' WHEN t IN ('special', 'specjal', 'speciale') THEN 'Special' END AS type,
+CASE w WHEN 'obejrzane' THEN 'Completed' WHEN 'oglądam' THEN 'Watching' WHEN 'wstrzymane' THEN 'OnHold' WHEN 'porzucone' THEN 'Dropped' WHEN 'nie oglądam' THEN 'Dropped' ELSE 'PlanToWatch' END AS watch,
+CASE WHEN s IN ('zakończone', 'zakonczone') THEN 'Finished' WHEN s = 'emitowane' THEN 'Ongoing' WHEN s IN ('zapowiedź', 'nadchodzące') THEN 'Upcoming' END AS status, CASE WHEN k % 4 >= 2 THEN k % 11 END::BIGINT AS score FROM r"""
+ORACLES["source_a_words"] = f"""
+WITH r AS (SELECT o_orderkey AS k, {picked(queries.A_TYPES, 'o_orderkey')} AS t, {picked(queries.A_STATUSES, 'o_orderkey')} AS s, {picked(queries.A_WATCH, 'o_orderkey')} AS w FROM orders)
+SELECT k, CASE t WHEN 'Music' THEN 'Ova' WHEN 'OVA' THEN 'Ova' WHEN 'TV' THEN 'Tv' WHEN 'ONA' THEN 'Ona' ELSE t END AS type,
+CASE s WHEN 'Finished Airing' THEN 'Finished' WHEN 'Currently Airing' THEN 'Ongoing' ELSE 'Upcoming' END AS status,
+CASE w WHEN 'completed' THEN 'Completed' WHEN 'plan' THEN 'PlanToWatch' WHEN 'in progress' THEN 'Watching' WHEN 'hold' THEN 'OnHold' ELSE 'Dropped' END AS watch, k % 30 AS watched FROM r"""
+ORACLES["sections"] = f"""
+WITH r AS (SELECT o_orderkey AS k, {picked(queries.SECTIONS, 'o_orderkey')} AS s, o_orderkey % 3 + 1 AS p, 'u' || (o_orderkey % 5) AS u, CASE WHEN o_orderkey % 4 <> 0 THEN o_orderkey % 13 END AS e FROM orders)
+SELECT k, CASE s WHEN 'rated' THEN 'Completed' WHEN 'watching' THEN 'Watching' ELSE 'PlanToWatch' END AS watch, CASE s WHEN 'rated' THEN 3 WHEN 'watching' THEN 2 ELSE 1 END::BIGINT AS rank,
+CASE WHEN s = 'rated' THEN coalesce(e, 0) ELSE 0 END::BIGINT AS watched, '/user/' || u || '/' || s || CASE WHEN p > 1 THEN '?page=' || p ELSE '' END AS path, '/anime_list/' || u AS path_c FROM r"""
+ORACLES["japanese_aliases"] = f"""
+SELECT o_orderkey AS k, trim(list_filter(string_split({picked(queries.ALIASES, 'o_orderkey')}, '|'), lambda p: regexp_matches(p, '[\u3040-\u30FF\u3400-\u9FFF\uF900-\uFAFF]'))[1]) AS alias FROM orders"""
+ORACLES["small_texts"] = r"""
+SELECT doc_id, substr(regexp_replace(trim(text), '[ \t\n\x0B\f\r]+', ' ', 'g'), 1, 200) AS preview, CASE WHEN doc_id % 3 = 1 THEN 'p' ELSE 't' || doc_id END AS cover,
+CASE WHEN doc_id % 2 = 1 AND trim(lang) <> '' THEN trim(lang) ELSE 't' || doc_id END AS search FROM documents"""
+_HOST = {p: h.replace(".", r"\.") for p, h in queries.HOSTS.items()}
+_FRONT = {p: rf"^(?:https?://)?(?:www\.)?{h}" for p, h in _HOST.items()}
+_URL = {"a": rf"{_FRONT['a']}/user/([0-9]+)(?:-[A-Za-z0-9_-]+)?/?$", "b": rf"(?i){_FRONT['b']}/user/([^/?#]+)(?:/(?:rated|watching|plans))?/?(?:[?#].*)?$", "c": rf"(?i){_FRONT['c']}/(?:anime_list|profile)/([0-9]+)(?:/[0-5])?/?(?:[?#].*)?$"}
+ORACLES["users_typed"] = rf"""
+WITH r AS (SELECT o_orderkey AS k, trim({picked(queries.USERS, 'o_orderkey')}) AS t FROM orders),
+n AS (SELECT k, t, TRY_CAST(coalesce(nullif(regexp_extract(t, '{_URL['a']}', 1), ''), nullif(regexp_extract(t, '^(?:https?://)?(?:www\.)?([0-9]+)(?:-[A-Za-z0-9_-]+)?/?$', 1), '')) AS DECIMAL(38, 0)) AS a,
+  coalesce(nullif(regexp_extract(t, '{_URL['b']}', 1), ''), t) AS b, coalesce(nullif(regexp_extract(t, '{_URL['c']}', 1), ''), t) AS c FROM r),
+u AS (SELECT k, t, CASE WHEN a > 0 AND a <= 9007199254740991 THEN a::VARCHAR END AS user_a, CASE WHEN regexp_full_match(b, '[A-Za-z0-9_-]+') THEN b END AS user_b, CASE WHEN regexp_full_match(c, '[0-9]+') THEN c END AS user_c FROM n)
+SELECT k, user_a, user_b, user_c, 'b:' || lower(user_b) AS scope_b, CASE WHEN regexp_matches(t, '{_URL['a']}') THEN 'a' WHEN regexp_matches(t, '{_URL['c']}') THEN 'c' WHEN regexp_matches(t, '{_URL['b']}') THEN 'b' END AS provider FROM u"""
+_LACK = f"'{labels.MISSING}'"
+ORACLES["display_labels"] = f"""
+WITH r AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 9 <> 0 THEN {nth(demo.TYPE_NAMES, 'o_orderkey')} END AS t, {nth(demo.STATUS_NAMES, 'o_orderkey')} AS s, {nth(demo.SEASON_NAMES, 'o_orderkey')} AS z, {nth(demo.WATCH_NAMES, 'o_orderkey')} AS w,
+  CASE WHEN o_orderkey % 7 <> 0 THEN o_orderdate::DATE END AS d, o_orderkey % 40 AS n FROM orders)
+SELECT k, {words('t', labels.TYPES, _LACK)} AS type, {words('s', labels.STATUSES, _LACK)} AS status, {words('z', labels.SEASONS, _LACK)} AS season, {words('w', labels.WATCH, _LACK)} AS watch,
+coalesce(year(d)::VARCHAR, 'Nieznany rok') AS premiere_year, CASE WHEN d IS NULL THEN 'Nieznana data' ELSE year(d)::VARCHAR || ', ' || day(d)::VARCHAR || ' ' || {picked(labels.MONTHS, 'month(d) - 1')} END AS premiere,
+coalesce(year(d)::VARCHAR, {_LACK}) AS year, CASE WHEN n > 0 THEN n::VARCHAR ELSE 'Brak' END AS episodes, CASE WHEN n > 0 THEN ((n * 50 + 59) // 60)::VARCHAR || ' min' ELSE {_LACK} END AS duration FROM r"""
+ORACLES["label_merge"] = """
+WITH c AS (SELECT l_orderkey AS id, l_linenumber AS p, min(l_returnflag) AS f, min(l_partkey) % 3 <> 0 AS filled, min(l_suppkey)::VARCHAR AS v FROM lineitem GROUP BY l_orderkey, l_linenumber)
+SELECT id, arg_min(v, p) FILTER (f = 'A' AND filled) AS status, arg_min(v, p) FILTER (f = 'N' AND filled) AS episodes FROM c GROUP BY id"""
+ORACLES["every_hundredth"] = "SELECT o_orderkey AS pos, o_totalprice FROM orders WHERE o_orderkey % 100 = 0"
+
+# --- joins and review steps ---
+
+ORACLES["export_missing"] = "SELECT o_orderkey AS pair_pos, o_custkey AS source_id FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 5 <> 0)"
+ORACLES["detail_join"] = """
+SELECT o_orderkey AS id, o_orderkey AS pos, CASE WHEN o_orderkey % 8 = 0 THEN 'page' WHEN o_orderkey % 2 = 0 THEN o_orderstatus END AS status,
+CASE WHEN o_orderkey % 4 <> 0 AND o_orderkey % 6 = 0 THEN 'tip' WHEN o_orderkey % 3 = 0 THEN o_orderpriority END AS priority FROM orders"""
+ORACLES["picker_order"] = f"""
+WITH {REVIEW}, raw AS (SELECT l_orderkey AS q, min(l_partkey) % 50 AS id, l_linenumber AS rank, l_linenumber = 3 AS win FROM lineitem GROUP BY l_orderkey, l_linenumber),
+once AS (SELECT q, id, bool_or(win) AS win, coalesce(min(rank) FILTER (win), min(rank)) AS rank FROM raw GROUP BY q, id),
+mark AS (SELECT q, id, win, rank, EXISTS (SELECT 1 FROM state WHERE effective_id = once.id AND source_id <> once.q) AS is_claimed FROM once)
+SELECT q, id, is_claimed, row_number() OVER (PARTITION BY q ORDER BY is_claimed, win DESC, rank) AS place FROM mark"""
+ORACLES["override_set"] = f"""WITH {REVIEW}
+SELECT source_id, catalog_id FROM o WHERE source_id <> 3 AND catalog_id <> 7
+UNION ALL SELECT 3, 7 WHERE NOT EXISTS (SELECT 1 FROM w WHERE source_id = 3 AND winner_id = 7)
+UNION ALL SELECT source_id, NULL FROM ig WHERE source_id <> 3"""
+ORACLES["override_cleared"] = f"""WITH {REVIEW}
+SELECT source_id, catalog_id FROM o WHERE source_id NOT IN (12, 21)
+UNION ALL SELECT source_id, NULL FROM ig WHERE source_id <> 12
+UNION ALL SELECT 12, NULL WHERE 12 NOT IN (SELECT source_id FROM ig)"""
+ORACLES["selections"] = f"WITH {REVIEW} SELECT source_id, effective_id AS catalog_id, source_id AS list_pos FROM state WHERE effective_id IS NOT NULL"
+
+# The weight grid over candidates' scores.
+_GRID = [score.weights(p, g) for p, g in queries.GRID]
+_TOTALS = " UNION ALL ".join(
+    f"SELECT {k} AS setting, q, search_rank, {' + '.join(f'{w!r}::DOUBLE * {n}' for w, n in zip(ws, ('search_score', 'season_score', 'year_score', 'type_score', 'status_score', 'seasonal_score', 'episodes_score'), strict=True))} AS f FROM full_" for k, ws in enumerate(_GRID)
+)
+ORACLES["weight_grid"] = f"""WITH {_FOUND}, {matched(score.STRICT)}, totals AS ({_TOTALS}),
+lined AS (SELECT *, row_number() OVER win AS place, f - lead(CASE WHEN f >= 0.3 THEN f END) OVER win AS lead_gap FROM totals WINDOW win AS (PARTITION BY setting, q ORDER BY f DESC, search_rank))
+SELECT setting, count(*) FILTER (lead_gap IS NULL OR lead_gap > 0.01 OR abs(lead_gap - 0.01) <= 1.1920929e-7) AS winners FROM lined WHERE place = 1 AND f >= 0.3 GROUP BY setting"""
+_TEXT = r"trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g'))"
+for _code, _sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&amp;", "&")):
+    _TEXT = f"replace({_TEXT}, '{_code}', '{_sign}')"
+ORACLES["html_titles"] = f"SELECT page_id, CASE WHEN regexp_matches(html, '(?i)<title') THEN {_TEXT} END AS title FROM pages"
+
+ORACLES["html_links"] = r"""
+WITH raw AS (SELECT page_id, regexp_extract_all(html, '(?is)<a\s[^>]*?href\s*=\s*("[^"]*"|''[^'']*''|[^\s>]+)', 1) AS v FROM pages),
+x AS (SELECT page_id, unnest(list_transform(v, lambda h: CASE WHEN h[1] IN ('"', '''') THEN substr(h, 2, length(h) - 2) ELSE h END)) AS href FROM raw)
+SELECT page_id, count(*) AS n_links, count(*) FILTER (href[1] = '/') AS n_local FROM x WHERE href <> '' GROUP BY page_id"""

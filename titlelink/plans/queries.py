@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import labels as L
 from ..functions import text as X
 from ..functions import titles as M
+from ..functions import users as U
 from ..operators import match, merge, review, score, search
 from ..sinks import export
 from ..sources import pages
@@ -34,7 +36,7 @@ def r6(c: Column | str) -> Column:
 
 @query
 def normalize_title(spark, d):
-    return table(spark, d, "documents").select("doc_id", X.normalize("text").alias("norm"))
+    return table(spark, d, "documents").select("doc_id", X.normalize_title("text").alias("norm"))
 
 
 @query
@@ -121,7 +123,9 @@ def doc_freq(spark, d):
 
 @query
 def idf_norms(spark, d):
-    return demo.index(spark, d).docs.select(F.col("canonical").alias("id"), F.col("alias").cast(LONG).alias("alias"), F.col("len").cast(LONG).alias("len"), F.round("norm", 4).alias("norm"))
+    index = demo.index(spark, d)
+    rows = index.docs.select("canonical", "alias", "len").join(search.norms(index), ["canonical", "alias"], "left")
+    return rows.select(F.col("canonical").alias("id"), F.col("alias").cast(LONG).alias("alias"), F.col("len").cast(LONG).alias("len"), F.round("norm", 4).alias("norm"))
 
 
 @query
@@ -258,9 +262,12 @@ def fuzzy_match_query(spark, d):
     return match.choose(got, score.QUERY_LINKED).select("q", "id", r6("final_score").alias("final_score"), F.col("rank").cast(LONG).alias("rank"))
 
 
+GRID = [([1.0] * 7, 1.0), ([1.0, 0.2, 0.8, 0.7, 0.5, 0.2, 0.3], 0.7), ([1.0, 0, 0, 0, 0, 0, 0], 1.0)]
+
+
 @query
 def weight_grid(spark, d):
-    return match.tune(_scored(spark, d), [([1.0] * 7, 1.0), ([1.0, 0.2, 0.8, 0.7, 0.5, 0.2, 0.3], 0.7), ([1.0, 0, 0, 0, 0, 0, 0], 1.0)], 0.3, 0.01)
+    return match.tune(_scored(spark, d), GRID, 0.3, 0.01)
 
 
 @query
@@ -383,6 +390,149 @@ def xml_lines(spark, d):
     return export.xml_lines(_export(spark, d))
 
 
+# --- words, users and labels ---
+
+BOOLS = ("true", "TRUE", "1", "0", "false", "7")
+TYPE_TEXTS = ("tv", "Movie", " film ", "OVA", "ona", "Special", "specjal", "speciale", "radio")
+WATCH_TEXTS = ("Obejrzane", "oglądam", "Wstrzymane", "porzucone", "nie oglądam", "Planuję", "coś innego")
+STATUS_TEXTS = ("Zakończone", "zakonczone", "Emitowane", "zapowiedź", "Nadchodzące", "?")
+A_TYPES = ("Music", "OVA", "Special", "TV", "ONA", "Movie")
+A_STATUSES = ("Finished Airing", "Currently Airing", "Proposal", "Not yet aired")
+A_WATCH = ("completed", "plan", "in progress", "skip", "hold", "dropped")
+SECTIONS = ("rated", "watching", "plans")
+ALIASES = ("Alpha | 斗罗大陆 第二季 | ワンピース", "One Piece", "| ワンピース", "a|b|c", "進撃")
+USERS = ("12", "https://list.example/user/12-name", "www.list.example/user/007/", "list.example/user/0", "name_1", "HTTPS://ZONE.example/user/Name/rated?x=1", "zone.example/user/a%20b", "look.example/anime_list/55/3", "https://look.example/profile/9#x", " 77 ", "", "99999999999999999999")
+HOSTS = {"a": "list.example", "b": "zone.example", "c": "look.example"}
+
+
+def _orders(spark, d, **columns):
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), *[c.alias(n) for n, c in columns.items()])
+
+
+@query
+def loose_bools(spark, d):
+    k = F.col("o_orderkey")
+    return _orders(spark, d, raw=F.when(k % 11 != 0, demo.nth(BOOLS, k))).select("k", X.loose_bool("raw").alias("value"))
+
+
+@query
+def site_words(spark, d):
+    k = F.col("o_orderkey")
+    rows = _orders(spark, d, t=demo.nth(TYPE_TEXTS, k), w=demo.nth(WATCH_TEXTS, k), s=demo.nth(STATUS_TEXTS, k), score=F.when(k % 4 == 0, "").when(k % 4 == 1, " brak ").otherwise((k % 11).cast("string")))
+    return rows.select("k", X.site_type("t").alias("type"), X.site_watch("w").alias("watch"), X.site_status("s").alias("status"), X.cell("score").try_cast("int").cast(LONG).alias("score"))
+
+
+@query
+def source_a_words(spark, d):
+    k = F.col("o_orderkey")
+    rows = _orders(spark, d, t=demo.nth(A_TYPES, k), s=demo.nth(A_STATUSES, k), w=demo.nth(A_WATCH, k), n=(k % 30).cast("string"))
+    return rows.select("k", X.a_type("t").alias("type"), X.a_status("s").alias("status"), X.a_watch("w").alias("watch"), X.whole_number("n").cast(LONG).alias("watched"))
+
+
+@query
+def sections(spark, d):
+    k = F.col("o_orderkey")
+    rows = _orders(spark, d, section=demo.nth(SECTIONS, k), page=(k % 3 + 1).cast("int"), user=F.concat(F.lit("u"), (k % 5).cast("string")), episodes=F.when(k % 4 != 0, (k % 13).cast("int")))
+    watch = X.section_watch("section")
+    watched = F.when(watch == "Completed", F.coalesce("episodes", F.lit(0))).otherwise(0)
+    return rows.select("k", watch.alias("watch"), X.section_rank("section").cast(LONG).alias("rank"), watched.cast(LONG).alias("watched"), X.section_path("b", "user", "section", "page").alias("path"), X.section_path("c", "user", "section", "page").alias("path_c"))
+
+
+@query
+def japanese_aliases(spark, d):
+    k = F.col("o_orderkey")
+    return _orders(spark, d, t=demo.nth(ALIASES, k)).select("k", X.japanese_alias("t").alias("alias"))
+
+
+@query
+def small_texts(spark, d):
+    i = F.col("doc_id")
+    rows = table(spark, d, "documents").select("doc_id", "text", F.when(i % 3 == 0, "").when(i % 3 == 1, F.lit("p")).alias("picture"), F.concat(F.lit("t"), i.cast("string")).alias("thumbnail"), F.when(i % 2 == 0, "  ").otherwise(F.col("lang")).alias("asked"))
+    return rows.select("doc_id", X.preview("text").alias("preview"), X.cover("picture", "thumbnail").alias("cover"), X.search_text("asked", "thumbnail").alias("search"))
+
+
+@query
+def users_typed(spark, d):
+    k = F.col("o_orderkey")
+    rows = _orders(spark, d, typed=demo.nth(USERS, k))
+    named = [U.user("typed", p, HOSTS[p]).alias(f"user_{p}") for p in "abc"]
+    return rows.select("k", *named, U.scope("typed", "b", HOSTS["b"]).alias("scope_b"), U.provider_of("typed", HOSTS).alias("provider"))
+
+
+@query
+def display_labels(spark, d):
+    k = F.col("o_orderkey")
+    date = F.when(k % 7 != 0, F.to_date("o_orderdate"))
+    rows = _orders(spark, d, type=F.when(k % 9 != 0, demo.nth(demo.TYPE_NAMES, k)), status=demo.nth(demo.STATUS_NAMES, k), season=demo.nth(demo.SEASON_NAMES, k), watch=demo.nth(demo.WATCH_NAMES, k), date=date, n=(k % 40).cast("int"))
+    return rows.select(
+        "k", L.word("type", L.TYPES).alias("type"), L.word("status", L.STATUSES).alias("status"), L.word("season", L.SEASONS).alias("season"), L.word("watch", L.WATCH).alias("watch"),
+        L.premiere_year("date").alias("premiere_year"), L.premiere_date("date").alias("premiere"), L.year(F.year("date")).alias("year"), L.episode_count("n").alias("episodes"), L.duration(F.col("n") * 50).alias("duration"),
+    )
+
+
+@query
+def label_merge(spark, d):
+    """The first filled value of each label, of documents' lines taken as labelled cells."""
+    lines = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("p")).agg(F.min("l_returnflag").alias("f"), F.min("l_partkey").alias("n"), F.min("l_suppkey").alias("v"))
+    cell = F.struct(F.when(F.col("f") == "A", "Status").when(F.col("f") == "N", "Odcinki").otherwise("Inne").alias("label"), F.when(F.col("n") % 3 != 0, F.col("v").cast("string")).otherwise(" ").alias("value"))
+    rows = lines.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", cell.alias("c")))), lambda x: x["c"]).alias("cells"))
+    return pages.labelled(rows, "id", {"status": ("Status",), "episodes": ("Odcinki",)})
+
+
+@query
+def every_hundredth(spark, d):
+    return match.every_nth(table(spark, d, "orders").select(F.col("o_orderkey").alias("pos"), "o_totalprice"), "pos", 100)
+
+
+# --- joins and review steps ---
+
+
+@query
+def export_missing(spark, d):
+    """Pairs whose row the list doesn't have: what an export would fail on."""
+    pairs = table(spark, d, "orders").select(F.col("o_orderkey").alias("pair_pos"), F.col("o_custkey").alias("source_id"))
+    own = table(spark, d, "customer").where("c_custkey % 5 <> 0").select(F.col("c_custkey").alias("id"))
+    return export.missing(pairs, own).select("pair_pos", "source_id")
+
+
+@query
+def detail_join(spark, d):
+    k = F.col("o_orderkey")
+    items = table(spark, d, "orders").select(k.alias("id"), k.alias("pos"), F.when(k % 2 == 0, F.col("o_orderstatus")).alias("status"), F.when(k % 3 == 0, F.col("o_orderpriority")).alias("priority"))
+    page = table(spark, d, "orders").where("o_orderkey % 4 = 0").select(k.alias("id"), F.when(k % 8 == 0, F.lit("page")).alias("status"))
+    tip = table(spark, d, "orders").where("o_orderkey % 6 = 0").select(k.alias("id"), F.lit("tip").alias("priority"))
+    return merge.with_details(items, [page, tip], "id", ["status", "priority"])
+
+
+@query
+def picker_order(spark, d):
+    lines = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("q"), F.col("l_linenumber").alias("rank")).agg(F.min("l_partkey").alias("n"))
+    rows = lines.select("q", F.pmod("n", F.lit(50)).alias("id"), "rank", (F.col("rank") == 3).alias("is_winner"))
+    claimed = review.claims(_state(spark, d))
+    got = review.picker(rows, claimed)
+    order = Window.partitionBy("q").orderBy("is_claimed", F.desc("is_winner"), "rank")
+    return got.select("q", "id", "is_claimed", F.row_number().over(order).cast(LONG).alias("place"))
+
+
+@query
+def override_set(spark, d):
+    """After one row's override: the table of overrides, and the ignored rows (catalog_id null)."""
+    o, i = review.set_override(demo.overrides(spark, d), demo.ignores(spark, d), demo.winners(spark, d), 3, 7)
+    return o.unionByName(i.withColumn("catalog_id", F.lit(None).cast(LONG)))
+
+
+@query
+def override_cleared(spark, d):
+    """After a row is ignored, and then another's override cleared."""
+    o, i = review.toggle_ignored(demo.overrides(spark, d), demo.ignores(spark, d), 12)
+    return review.clear_override(o, 21).unionByName(i.withColumn("catalog_id", F.lit(None).cast(LONG)))
+
+
+@query
+def selections(spark, d):
+    return review.selections(_state(spark, d))
+
+
 # Titles and the numbers in them.
 GOLDEN = [
     ("Shingeki no Kyojin 1", 1.0, None, None), ("snk 1", 1.0, None, None), ("AOT Season 1 Part II", 1.0, 2.0, None), ("AOT Final Part 2", 99.0, 2.0, None), ("AOT Final", 99.0, None, None),

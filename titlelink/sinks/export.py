@@ -42,6 +42,11 @@ def export_rows(pairs: DataFrame, source: DataFrame) -> DataFrame:
     )
 
 
+def missing(pairs: DataFrame, source: DataFrame) -> DataFrame:
+    """Pairs whose row the list doesn't have."""
+    return pairs.join(source.select(F.col("id").cast("long").alias("source_id")), "source_id", "left_anti")
+
+
 def escaped(c: Column) -> Column:
     out = c.cast("string")
     for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&apos;")):
@@ -72,9 +77,9 @@ def write_atomically(path: str, parts: Iterable[str]) -> None:
 
 def export_xml(pairs: DataFrame, source: DataFrame, path: str) -> int:
     """Write the file in the pairs' order; nothing is written if a pair has no row. Rows reach the driver a partition at a time."""
-    missing = pairs.join(source.select(F.col("id").cast("long").alias("source_id")), "source_id", "left_anti").limit(1).collect()
-    if missing:
-        raise OutOfIndex("a pair has no row", source_id=missing[0]["source_id"])
+    lost = missing(pairs, source).limit(1).collect()
+    if lost:
+        raise OutOfIndex("a pair has no row", source_id=lost[0]["source_id"])
     lines = xml_lines(export_rows(pairs, source)).orderBy("pair_pos").select("xml")
     count = 0
 

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..errors import BadJson, SourceRejected
+from ..errors import BadJson, RetryExhausted, SourceRejected
 from ..functions import text as X
 from ..functions.titles import with_title_meta
 from ..operators import merge
@@ -40,12 +40,13 @@ def a_list(items: DataFrame) -> DataFrame:
         F.lit(True).alias("has_date"), X.loose_date("premiereDate").alias("date"), F.lit(True).alias("has_year"), F.year(X.loose_date("premiereDate")).alias("year"),
         F.lit(True).alias("has_type"), X.a_type("animeType").alias("anime_type"), F.lit(True).alias("has_status"), X.a_status("titleStatus").alias("status"),
         F.lit(True).alias("has_episodes"), F.coalesce("episodes", F.lit(0)).alias("episodes"), X.a_watch("watchStatus").alias("watch_status"),
-        F.col("watchedEpisodesCnt").try_cast("int").alias("watched_episodes"), F.col("rateTotal").alias("score"), X.loose_date("finishDate").alias("finish_date"), F.col("userNote").alias("note"),
+        X.whole_number("watchedEpisodesCnt").alias("watched_episodes"), F.col("rateTotal").alias("score"), X.loose_date("finishDate").alias("finish_date"), F.col("userNote").alias("note"),
     )
     return _finish(rows)
 
 
-_B_LABELS = {"alternative_title": ("alternatywny tytuł",), "year_text": ("rok produkcji", "rok"), "type_text": ("rodzaj", "typ"), "status_text": ("status",)}
+# The sites' labels.
+_B_LABELS = {"alternative_title": ("Alternatywny tytuł", "Alternatywny tytul"), "year_text": ("Rok produkcji",), "type_text": ("Rodzaj",), "status_text": ("Status",)}
 
 
 def b_list(list_pages: DataFrame, detail_pages: DataFrame | None = None) -> DataFrame:
@@ -75,7 +76,16 @@ def b_list(list_pages: DataFrame, detail_pages: DataFrame | None = None) -> Data
     ))
 
 
-_C_LABELS = {"original_title": ("oryginalny tytuł", "tytuł oryginalny"), "episodes_text": ("odcinki",), "status_text": ("status",), "start_text": ("start emisji",), "end_text": ("koniec emisji",), "type_text": ("typ",)}
+_C_LABELS = {"japanese": ("Japoński", "Japonski"), "episodes_text": ("Odcinki",), "status_text": ("Status",), "start_text": ("Start emisji",), "end_text": ("Koniec emisji",)}
+
+
+def _c_fields(read: DataFrame, link, title, episodes) -> DataFrame:
+    """What a detail page or a tooltip says of an entry; what stands on its own goes before a labelled value."""
+    return read.join(pages.labelled(read, "id", _C_LABELS), "id", "left").select(
+        "id", link.alias("mal_id"), F.coalesce(title, X.cell("japanese")).alias("original_title"), X.site_status("status_text").alias("site_status"), X.site_type("badge").alias("anime_type"),
+        F.col("start_text").try_cast("date").alias("premiere_date"), F.col("end_text").try_cast("date").alias("finish"),
+        F.coalesce(episodes, F.regexp_extract("episodes_text", r"([0-9]+)", 1).try_cast("int")).alias("episodes"),
+    )
 
 
 def c_list(list_pages: DataFrame, detail_pages: DataFrame | None = None, tooltips: DataFrame | None = None, strict: bool = False) -> DataFrame:
@@ -87,14 +97,9 @@ def c_list(list_pages: DataFrame, detail_pages: DataFrame | None = None, tooltip
     fields = ["mal_id", "original_title", "site_status", "anime_type", "premiere_date", "finish", "episodes"]
     details = []
     if detail_pages is not None:
-        read = pages.scrape(detail_pages, "c_detail", ["id"])
-        cells = pages.labelled(read, "id", _C_LABELS)
-        details.append(read.join(cells, "id", "left").select(
-            "id", X.page_linked_id("mal_url").alias("mal_id"), X.cell("original_title").alias("original_title"), X.site_status("status_text").alias("site_status"), X.site_type(F.coalesce("badge", "type_text")).alias("anime_type"),
-            F.col("start_text").try_cast("date").alias("premiere_date"), F.col("end_text").try_cast("date").alias("finish"), F.regexp_extract("episodes_text", r"([0-9]+)", 1).try_cast("int").alias("episodes"),
-        ))
+        details.append(_c_fields(pages.scrape(detail_pages, "c_detail", ["id"]), X.page_linked_id("mal_url"), F.lit(None).cast("string"), F.lit(None).cast("int")))
     if tooltips is not None:
-        details.append(pages.scrape(tooltips, "c_tooltip", ["id"], "body").select("id", "original_title", "episodes"))
+        details.append(_c_fields(pages.scrape(tooltips, "c_tooltip", ["id"], "body"), F.lit(None).cast("long"), F.col("original_title"), F.col("episodes")))
     if details:
         rows = merge.with_details(rows, details, "id", fields, strict)
     else:
@@ -127,7 +132,7 @@ class Throttle:
                 return fetch()
             except Exception as e:  # noqa: BLE001
                 error = e
-        raise error
+        raise RetryExhausted(f"{self.attempts} attempts failed", cause=str(error)) from error
 
 
 # Fixed values: (calls a second, burst, calls at once, attempts).

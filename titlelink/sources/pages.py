@@ -111,15 +111,20 @@ def b_list(html: str) -> list[dict]:
 
 
 def b_detail(html: str) -> dict:
-    """mal link, labelled values in order, number of episode rows."""
+    """mal link, labelled values in order, number of episode rows; a page with neither link, other title nor year is an error."""
     root = parse(html)
     mal = root.first("a", ("mal-link",), href=r"myanimelist\.net/anime/")
     cells = []
-    for row in root.find("tr"):
-        found = [c for c in row.children if isinstance(c, Node) and c.tag in ("td", "th")]
-        if len(found) >= 2:
-            cells.append({"label": found[0].text().rstrip(":").lower(), "value": found[1].text()})
-    episodes = sum(any("/odcinek/" in a.attrs.get("href", "") for a in row.find("a")) for row in root.find("tr"))
+    for table in root.find("table"):
+        for row in table.find("tr"):
+            found = row.find("td")
+            if len(found) >= 2:
+                cells.append({"label": found[0].text().strip(), "value": found[1].text()})
+    rows = [r for t in root.find("table", ("episodes",)) for body in t.find("tbody") for r in body.find("tr")]
+    episodes = sum(row.first("a", href="/odcinek/") is not None for row in rows)
+    named = {c["label"] for c in cells if c["value"].strip()}
+    if mal is None and not named & {"Alternatywny tytuł", "Alternatywny tytul", "Rok produkcji"}:
+        raise BadPage("the page has no metadata")
     return {"mal_url": mal.attrs["href"] if mal else None, "cells": cells, "episode_rows": episodes or None}
 
 
@@ -127,38 +132,63 @@ def b_detail(html: str) -> dict:
 
 
 def c_list(html: str) -> list[dict]:
-    if PRIVATE in (html or ""):
+    """Rows of a list page; a row with too few cells, or without a known id or a title link, is an error."""
+    root = parse(html)
+    if PRIVATE in (root.first("body") or root).text():
         raise PrivateList("anime list is private")
-    table = parse(html).first("table", id="^my_anime_table$")
     out = []
-    for row in table.find("tr", id="^anime_list_item_") if table else []:
-        cells = [c for c in row.children if isinstance(c, Node) and c.tag == "td"]
-        if len(cells) < 7:
-            continue
-        link = cells[1].first("a", href="/anime/") if cells[1].find("a") else cells[2].first("a", href="/anime/")
-        title = next((c for c in cells[2:3]), cells[1])
-        out.append({
-            "id": int(re.search(r"\d+$", row.attrs["id"]).group()), "title": title.text(), "slug": link.attrs["href"].split("/anime/", 1)[1].strip("/") if link else None,
-            "status": cells[3].text(), "score": cells[4].text(), "progress": cells[5].text(), "type": cells[6].text(),
-        })
+    for table in root.find("table", id="^my_anime_table$"):
+        for row in [r for body in table.find("tbody") for r in body.find("tr", id="^anime_list_item_")]:
+            cells = row.find("td")
+            if len(cells) < 7:
+                raise BadPage("a list row has fewer than seven cells")
+            number = re.fullmatch(r"anime_list_item_(\d+)", row.attrs["id"])
+            if not number:
+                raise BadPage(f"a list row's id is not known: {row.attrs['id']}")
+            link = cells[2].first("a", href="^/anime/")
+            if link is None or not (slug := link.attrs["href"].split("/anime/", 1)[1].strip("/")):
+                raise BadPage("a list row has no title link")
+            out.append({
+                "id": int(number.group(1)), "title": link.text(), "slug": slug,
+                "status": cells[3].text(), "score": cells[4].text(), "progress": cells[5].text(), "type": cells[6].text(),
+            })
     return out
 
 
+def _labels(nodes: list[Node]) -> list[dict]:
+    return [{"label": a.strip(), "value": b.strip()} for x in nodes for a, sep, b in [x.text().partition(":")] if sep]
+
+
+def _badge(root: Node, outer: str | None, *classes: str) -> str | None:
+    scopes = root.find("div", (outer,)) if outer else [root]
+    found = next((x for s in scopes for x in s.find("span" if outer else None, classes)), None)
+    return found.text() if found else None
+
+
 def c_detail(html: str) -> dict:
     root = parse(html)
-    cells = [{"label": a.strip().lower(), "value": b.strip()} for p in root.find("p", ("m-0",)) for a, sep, b in [p.text().partition(":")] if sep]
-    badge = root.first("span", ("badge",))
+    cells = _labels(root.find("p", ("m-0",)))
     mal = root.first("a", href=r"myanimelist\.net/anime/")
-    return {"mal_url": mal.attrs["href"] if mal else None, "cells": cells, "badge": badge.text() if badge else None}
+    named = {c["label"] for c in cells if c["value"]}
+    if mal is None and not named & {"Japoński", "Japonski", "Start emisji", "Odcinki"}:
+        raise BadPage("the page has no metadata")
+    return {"mal_url": mal.attrs["href"] if mal else None, "cells": cells, "badge": _badge(root, "outlines", "btn-outline-warning")}
 
 
 def c_tooltip(body: str) -> dict:
-    root = parse(json.loads(body).get("data") or "")
-    icon = root.first("i", ("fa-play",))
-    number = re.search(r"\d+", icon.parent.text()) if icon else None
-    texts = [x.text() for x in root.walk() if x.tag in ("h1", "h2", "h3", "h4", "h5", "h6", "p", "div", "span") and "|" in x.text()]
-    original = next((p.strip() for t in sorted(texts, key=len) for p in t.split("|") if re.search("[぀-ヿ㐀-鿿豈-﫿]", p)), None)
-    return {"episodes": int(number.group()) if number else None, "original_title": original}
+    try:
+        data = json.loads(body)["data"]
+    except (ValueError, KeyError, TypeError) as e:
+        raise BadPage("the tooltip isn't JSON with data") from e
+    root = parse(data)
+    numbers = (re.search(r"\d+", icon.parent.text()) for icon in root.find("i", ("fa-play",)))
+    episodes = next((int(n.group()) for n in numbers if n), None)
+    named = root.first("small", ("text-trim",))
+    original = next((p.strip() for p in (named.text() if named else "").split("|") if re.search("[぀-ヿ㐀-鿿豈-﫿]", p)), None)
+    cells = _labels(root.find("small"))
+    if original is None and episodes is None and not {c["label"] for c in cells if c["value"]} & {"Japoński", "Japonski", "Status", "Start emisji", "Odcinki"}:
+        raise BadPage("the tooltip has no metadata")
+    return {"episodes": episodes, "original_title": original, "cells": cells, "badge": _badge(root, None, "badge-warning")}
 
 
 _SHAPES = {
@@ -166,7 +196,7 @@ _SHAPES = {
     "b_detail": (b_detail, "mal_url string, cells array<struct<label:string,value:string>>, episode_rows int", False),
     "c_list": (c_list, "id long, title string, slug string, status string, score string, progress string, type string", True),
     "c_detail": (c_detail, "mal_url string, cells array<struct<label:string,value:string>>, badge string", False),
-    "c_tooltip": (c_tooltip, "episodes int, original_title string", False),
+    "c_tooltip": (c_tooltip, "episodes int, original_title string, cells array<struct<label:string,value:string>>, badge string", False),
     "title": (lambda h: {"title": title_of(h)}, "title string", False),
     "links": (lambda h: [{"href": x} for x in links_of(h)], "href string", True),
 }
