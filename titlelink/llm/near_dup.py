@@ -7,10 +7,12 @@ bits; two sets of similarity 0.75 differ in 16 of them on average and in more th
 Multi-index: 16 chunks of 4 components. Signatures that differ in at most 31 components differ in at most one component of some chunk
 (pigeonhole: 16 * 2 > 31), so the four ways to leave out one component of each chunk give 64 keys, one of which they share. A pair
 is looked at under its first shared key only. Within a key, pairs at a distance of at most 31, whose sizes allow the similarity,
-connect; a key with many members is cut into blocks, and each pair of blocks is a task of its own. The parts
-that are connected so are then compared on full sets, again in pairs of blocks, and what is confirmed gives the components.
-Groups hand on the edges of a spanning forest, never all pairs; nothing is dropped, capped or sampled, and links,
-fingerprints and components stay on the executors.
+connect. The parts that are connected so are then compared on full sets, and what is confirmed gives the components.
+
+A group (of a key, or a part) is dealt out over blocks of rows. Its least member is copied to each block; what is like it is connected
+without meeting the rest. Only members unlike it are compared with all others, block by block. So no group emits all its pairs, whatever
+its size, unless its members are really unlike. Nothing is dropped, capped or sampled, and links, fingerprints and components
+stay on the executors.
 
 Nulls and edge cases: a null or empty text, or one without words, has an empty set and links with nothing; a document of one to four words
 links with those of the same words; a null doc_id links with nothing and is its own null component; rows that share a doc_id
@@ -25,37 +27,37 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+import xxhash
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Recent, materialise, slices, table, text_bytes
+from .common import materialise, slices, table, text_bytes
 
 SHINGLE = 5
 PARTS, CHUNKS, PER_CHUNK = 64, 16, 4
 DISTANCE = 31
 SHARE = 75
 BLOCK = 512
+#: Shingles that a block of a part holds, about.
+BLOCK_SHINGLES = 4_000_000
 SMALL = 16
-#: Members of candidate groups that may be broadcast to pick their texts: 16 bytes each.
+#: Rows of a few longs that may be broadcast after a count.
 MOST_BROADCAST = 1_000_000
 _FACTORS = np.random.default_rng(20240229).integers(1, 1 << 63, PARTS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _STEP, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
-def _word_hash(word: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-
+def small(df: DataFrame) -> DataFrame:
+    """Marked for broadcast if counted to be small."""
+    return F.broadcast(df) if df.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else df
 
-def word_hashes() -> Recent:
-    return Recent(_word_hash, 200_000)
 
-
-def shingle_set(text: bytes, hashes: Recent) -> np.ndarray:
+def shingle_set(text: bytes) -> np.ndarray:
     """The sorted distinct hashes of the text's shingles."""
     words = text.lower().split()
     if not words:
         return np.zeros(0, np.uint64)
-    each = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+    each = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
     size = min(SHINGLE, len(words))
     code = np.full(len(words) - size + 1, size, np.uint64)
     for k in range(size):
@@ -78,11 +80,10 @@ _FEATURES = "doc_id long, n_shingles long, d1 long, d2 long, sig binary"
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes = word_hashes()
     for batch in slices(batches):
         sizes, ones, twos, signs = [], [], [], []
         for raw in batch.column(1).to_pylist():
-            found = shingle_set(raw, hashes)
+            found = shingle_set(raw)
             digest = np.frombuffer(hashlib.blake2b(found.tobytes(), digest_size=16).digest(), "<i8")
             sizes.append(len(found))
             ones.append(int(digest[0]))
@@ -113,188 +114,266 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), pa.array(rep)], names=["key", "rep"])
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by key, those of keys with more than one row, with the number of rows.
-
-    A run goes over batches: its rows are held back (16 bytes each) until it ends, in pieces of arrays.
-    """
-    held: list[np.ndarray] = []
-    last = None
+class _Sets:
+    """Which rows of a group are connected."""
 
-    def give(runs: list[np.ndarray], key: int) -> pa.RecordBatch | None:
-        reps = np.concatenate(runs)
-        if len(reps) < 2:
-            return None
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(reps), key, np.int64)), pa.array(reps), pa.array(np.full(len(reps), len(reps), np.int64))], names=["key", "rep", "c"])
+    def __init__(self, n: int):
+        self.parent = list(range(n))
 
-    for batch in batches:
-        key, rep = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(2))
-        if not len(key):
-            continue
-        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        if last is not None and key[0] == last:
-            held.append(rep[: starts[1] if len(starts) > 1 else len(rep)])
-            if len(starts) == 1:
-                continue
-            starts = starts[1:]
-        if held and (out := give(held, last)) is not None:
-            yield out
-        # All runs but the last one end in this batch.
-        sizes = np.diff(starts)
-        each = np.repeat(sizes, sizes)
-        at = np.flatnonzero(each > 1) + starts[0]
-        if len(at):
-            yield pa.RecordBatch.from_arrays([pa.array(key[at]), pa.array(rep[at]), pa.array(each[at - starts[0]].astype(np.int64))], names=["key", "rep", "c"])
-        held, last = [rep[starts[-1] :].copy()], int(key[-1])
-    if held and (out := give(held, last)) is not None:
-        yield out
-
-
-def _forest(n: int, a: np.ndarray, b: np.ndarray, reps: np.ndarray) -> list[tuple[int, int]]:
-    """(least member, other member) for each part of a graph over n rows with more than one doc_id."""
-    parent = list(range(n))
-
-    def top(x: int) -> int:
+    def top(self, x: int) -> int:
+        parent = self.parent
         while parent[x] != x:
             parent[x] = parent[parent[x]]
             x = parent[x]
         return x
 
-    for x, y in zip(a.tolist(), b.tolist(), strict=True):
-        if (p := top(x)) != (q := top(y)):
-            parent[p] = q
-    least: dict[int, int] = {}
-    used = np.unique(np.concatenate([a, b])).tolist()
-    for x in used:
-        least[top(x)] = min(least.get(top(x), reps[x]), reps[x])
-    return sorted({(int(least[top(x)]), int(reps[x])) for x in used if least[top(x)] != reps[x]})
+    def join(self, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+        """Connect rows pairwise; the pairs that were new."""
+        new = []
+        for x, y in zip(a.tolist(), b.tolist(), strict=True):
+            if (p := self.top(x)) != (q := self.top(y)):
+                self.parent[p] = q
+                new.append((x, y))
+        return new
 
 
-def _agree(x: np.ndarray, y: np.ndarray, variant: np.ndarray, nx: np.ndarray, ny: np.ndarray) -> np.ndarray:
-    """Whether rows of signatures are near enough, may be similar by size, and meet here under their first shared key."""
+def _agree(x: np.ndarray, y: np.ndarray, variant: np.ndarray, nx: np.ndarray, ny: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether rows of signatures are near enough and may be similar by size; and whether they also meet here under their first shared key."""
     same = x == y
     good = (same.sum(-1) >= PARTS - DISTANCE) & (100 * np.minimum(nx, ny) >= SHARE * np.maximum(nx, ny))
+    here = good.copy()
     if good.any():
         chunks = same.reshape(*same.shape[:-1], CHUNKS, PER_CHUNK)
         count = chunks.sum(-1)
         first = (count >= PER_CHUNK - 1).argmax(-1)
         inside = np.take_along_axis(chunks, first[..., None, None], axis=-2)[..., 0, :]
         left = np.where(inside.all(-1), 0, (~inside).argmax(-1))
-        good &= first * PER_CHUNK + left == variant
-    return good
-
-
-def _edges(a: list[tuple[int, int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([x for x, _ in a], pa.int64()), pa.array([y for _, y in a], pa.int64())], names=["a", "b"])
+        here &= first * PER_CHUNK + left == variant
+    return good, here
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBatch]:
     """Batches of whole groups: rows of like first `keys` columns, which come together, are never parted."""
-    held: pa.Table | None = None
+    held: list[pa.RecordBatch] = []  # rows of the last group so far
+
+    def whole(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        # Large offsets: the group's binary values may be more than 2 GB, and stay one batch.
+        columns = [[p.column(k) for p in parts] for k in range(parts[0].num_columns)]
+        wide = [[c.cast(pa.large_binary()) for c in cs] if pa.types.is_binary(cs[0].type) else cs for cs in columns]
+        return pa.RecordBatch.from_arrays([pa.concat_arrays(cs) for cs in wide], names=parts[0].schema.names)
+
     for batch in batches:
         if not batch.num_rows:
             continue
-        rows = pa.Table.from_batches([batch])
-        rows = pa.concat_tables([held, rows]) if held is not None else rows
-        cut = rows.num_rows
-        columns = [rows.column(k).combine_chunks().to_numpy(zero_copy_only=False) for k in range(keys)]
+        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(keys)]
         same = np.all([c == c[-1] for c in columns], axis=0)
-        cut = int(rows.num_rows - np.argmin(same[::-1])) if not same.all() else 0
+        cut = 0 if same.all() else int(batch.num_rows - np.argmin(same[::-1]))
+        if held and any(held[-1].column(k)[0].as_py() != columns[k][0] for k in range(keys)):
+            yield whole(held)
+            held = []
         if cut:
-            yield rows.slice(0, cut).combine_chunks().to_batches()[0]
-        held = rows.slice(cut)
-    if held is not None and held.num_rows:
-        yield held.combine_chunks().to_batches()[0]
-
-
-def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges between the near members of each group (key, i, j); rows come sorted by these."""
-    for batch in _groups(batches, 3):
-        key, i, j, rep, size = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(5))
-        signs = np.frombuffer(b"".join(batch.column(5).to_pylist()), "<u2").reshape(-1, PARTS)
-        new = np.concatenate([[True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
-        starts = np.append(np.flatnonzero(new), len(key))
-        sizes = np.diff(starts)
-        group = np.repeat(np.arange(len(sizes)), sizes)
-        variant = key >> 48
-        out: list[tuple[int, int]] = []
-        few = sizes <= SMALL
-        for lag in range(1, min(SMALL, int(sizes[few].max(initial=0)))):
-            at = np.flatnonzero(few[group[:-lag]] & (group[:-lag] == group[lag:]))
-            for k in range(0, len(at), 8192):
-                x = at[k : k + 8192]
-                y = x + lag
-                good = _agree(signs[x], signs[y], variant[x], size[x], size[y])
-                out += [(min(p, q), max(p, q)) for p, q in zip(rep[x[good]].tolist(), rep[y[good]].tolist(), strict=True) if p != q]
-        for g in np.flatnonzero(~few).tolist():
-            a, b = int(starts[g]), int(starts[g + 1])
-            own, n = signs[a:b], size[a:b]
-            xs, ys = [], []
-            for k in range(0, b - a, 32):
-                good = _agree(own[k : k + 32, None, :], own[None, :, :], variant[a], n[k : k + 32, None], n[None, :])
-                x, y = np.nonzero(good)
-                x = x + k
-                xs.append(x[x < y])
-                ys.append(y[x < y])
-            out += _forest(b - a, np.concatenate(xs), np.concatenate(ys), rep[a:b])
-        if out:
-            yield _edges(out)
-
-
-def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges between the members of each group (part, i, j) whose full sets are similar; rows come sorted by these."""
-    for batch in _groups(batches, 3):
-        part, i, j, rep = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
-        new = np.concatenate([[True], (part[1:] != part[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
-        starts = np.append(np.flatnonzero(new), len(part)).tolist()
-        out: list[tuple[int, int]] = []
-        for a, b in zip(starts, starts[1:], strict=False):
-            sets = [np.frombuffer(x.as_py(), "<u8") for x in batch.column(4).slice(a, b - a)]
-            sizes = np.asarray([len(s) for s in sets])
-            n = b - a
-            every = np.concatenate(sets)
-            owner = np.repeat(np.arange(n), sizes)
-            order = np.argsort(every, kind="stable")
-            every, owner = every[order], owner[order]
-            fresh = np.concatenate([[True], every[1:] != every[:-1]])
-            number = np.cumsum(fresh) - 1
-            counts = np.bincount(number)
-            shared = counts[number] > 1
-            owner, number = owner[shared], np.unique(number[shared], return_inverse=True)[1]
-            both = np.zeros((n, n), np.float32)
-            width = int(number.max()) + 1 if len(number) else 0
-            step = max(256, min(8192, (16 << 20) // (4 * n)))
-            for low in range(0, width, step):
-                p, q = np.searchsorted(number, [low, low + step])
+            yield whole([*held, batch.slice(0, cut)])
+            held = []
+        held.append(batch.slice(cut))
+    if held:
+        yield whole(held)
+
+
+def _pairs(reps: np.ndarray, x: np.ndarray, y: np.ndarray) -> list[tuple[int, int]]:
+    return [(min(p, q), max(p, q)) for p, q in zip(reps[x].tolist(), reps[y].tolist(), strict=True) if p != q]
+
+
+def _rows(pairs: list[tuple[int, int]], first: int) -> tuple[np.ndarray, np.ndarray]:
+    both = np.asarray(pairs, np.int64).reshape(-1, 2) + first
+    return both[:, 0], both[:, 1]
+
+
+_FOUND = "a long, b long, loose boolean"
+
+
+def _found(edges: list[tuple[int, int]], loose: list[tuple[int, int]]) -> pa.RecordBatch:
+    rows = edges + loose
+    return pa.RecordBatch.from_arrays(
+        [pa.array([x for x, _ in rows], pa.int64()), pa.array([y for _, y in rows], pa.int64()), pa.array([False] * len(edges) + [True] * len(loose), pa.bool_())], names=["a", "b", "loose"]
+    )
+
+
+def _starts(batch: pa.RecordBatch, keys: int) -> np.ndarray:
+    columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(keys)]
+    return np.append(np.flatnonzero(np.append(True, np.any([c[1:] != c[:-1] for c in columns], axis=0))), batch.num_rows)
+
+
+class _Signatures:
+    """Near signatures of rows (key, i, blocks, rep, n_shingles, sig) of groups."""
+
+    SCHEMA = "n_shingles long, sig binary"
+
+    def __init__(self, batch: pa.RecordBatch, at: int):
+        self.key = batch.column(0).to_numpy(zero_copy_only=False)
+        self.size = batch.column(at).to_numpy(zero_copy_only=False)
+        self.signs = np.frombuffer(b"".join(batch.column(at + 1).to_pylist()), "<u2").reshape(-1, PARTS)
+
+    def compare(self, x: np.ndarray, y: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(x, y, here) of the near pairs of rows x with rows y of one group."""
+        for k in range(0, len(x), 32):
+            own = x[k : k + 32]
+            good, here = _agree(self.signs[own][:, None, :], self.signs[y][None, :, :], self.key[own[0]] >> 48, self.size[own][:, None], self.size[y][None, :])
+            p, q = np.nonzero(good)
+            yield own[p], y[q], here[p, q]
+
+
+class _Shingles:
+    """Similar sets of rows (part, i, blocks, rep, shingles) of groups."""
+
+    SCHEMA = "shingles binary"
+
+    def __init__(self, batch: pa.RecordBatch, at: int):
+        self.raw = batch.column(at)
+
+    def sets(self, rows: np.ndarray) -> list[np.ndarray]:
+        return [np.frombuffer(self.raw[k].as_py(), "<u8") for k in rows.tolist()]
+
+    def compare(self, x: np.ndarray, y: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        many = self.sets(y)
+        sizes = np.asarray([len(t) for t in many])
+        every, owner = np.concatenate(many), np.repeat(np.arange(len(y)), sizes)
+        if len(x) <= 8:
+            for own, one in zip(x.tolist(), self.sets(x), strict=True):
+                hit = one[np.minimum(np.searchsorted(one, every), len(one) - 1)] == every
+                both = np.bincount(owner[hit], minlength=len(y))
+                q = np.flatnonzero(100 * both >= SHARE * (len(one) + sizes - both))
+                yield np.full(len(q), own), y[q], np.ones(len(q), bool)
+            return
+        few = self.sets(x)
+        lengths = np.asarray([len(t) for t in few])
+        known = np.unique(np.concatenate(few))
+        held = known[np.minimum(np.searchsorted(known, every), len(known) - 1)] == every
+        owner, number = owner[held], np.searchsorted(known, every[held])
+        order = np.argsort(number, kind="stable")
+        owner, number = owner[order], number[order]
+        mine, own = np.repeat(np.arange(len(x)), lengths), np.searchsorted(known, np.concatenate(few))
+        order = np.argsort(own, kind="stable")
+        mine, own = mine[order], own[order]
+        both = np.zeros((len(x), len(y)), np.float32)
+        step = max(256, min(8192, (16 << 20) // (4 * (len(x) + len(y)))))
+        for low in range(0, len(known), step):
+            grids = []
+            for n, rows, cols in ((len(x), mine, own), (len(y), owner, number)):
+                p, q = np.searchsorted(cols, [low, low + step])
                 grid = np.zeros((n, step), np.float32)
-                grid[owner[p:q], number[p:q] - low] = 1
-                both += grid @ grid.T
-            x, y = np.nonzero(100 * both >= SHARE * (sizes[:, None] + sizes[None, :] - both))
-            keep = (x < y) & (sizes[x] > 0)
-            out += _forest(n, x[keep], y[keep], rep[a:b])
-        if out:
-            yield _edges(out)
-
-
-def _blocked(rows: DataFrame, key: str, count: str) -> DataFrame:
-    """Rows for each pair (i, j) of blocks that their own block is part of; a group of up to BLOCK rows is one block."""
-    blocks = F.ceil(F.col(count) / F.lit(BLOCK))
-    own = F.pmod(F.xxhash64("rep"), blocks)
-    # With two or more blocks, a block also meets itself in each of its pairs.
-    other = F.explode(F.when(blocks == 1, F.array(F.lit(0).cast("long"))).otherwise(F.filter(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda y: y != own)))
-    return rows.withColumn("own", own).withColumn("other", other).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("own", "other")
+                grid[rows[p:q], cols[p:q] - low] = 1
+                grids.append(grid)
+            both += grids[0] @ grids[1].T
+        p, q = np.nonzero(100 * both >= SHARE * (lengths[:, None] + sizes[None, :] - both))
+        yield x[p], y[q], np.ones(len(p), bool)
+
+
+def _within(kind) -> object:
+    """Edges between the like rows of each group (key, i), which rows of `kind` follow with blocks and rep; rows come sorted by these. Each row
+    is compared with the group's least rep, and those unlike it with all. In a group of several blocks, which all hold the least
+    rep, rows that stay unconnected with it are told as loose (key, rep)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _groups(batches, 2):
+            starts, rows = _starts(batch, 2), kind(batch, 4)
+            key, blocks, rep = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 2, 3))
+            sizes = np.diff(starts)
+            edges: list[tuple[int, int]] = []
+            loose: list[tuple[int, int]] = []
+            few = (sizes <= SMALL) & (blocks[starts[:-1]] == 1) & (kind is _Signatures)
+            group = np.repeat(np.arange(len(sizes)), sizes)
+            for lag in range(1, min(SMALL, int(sizes[few].max(initial=0)))):  # small groups of all keys at once
+                at = np.flatnonzero(few[group[:-lag]] & (group[:-lag] == group[lag:]))
+                for k in range(0, len(at), 8192):
+                    x = at[k : k + 8192]
+                    y = x + lag
+                    _, here = _agree(rows.signs[x], rows.signs[y], key[x] >> 48, rows.size[x], rows.size[y])
+                    edges += _pairs(rep, x[here], y[here])
+            for g in np.flatnonzero(~few & ((sizes > 1) | (blocks[starts[:-1]] > 1))).tolist():
+                a, b = int(starts[g]), int(starts[g + 1])
+                every = np.arange(a, b)
+                lead = a + int(rep[a:b].argmin())
+                joined = _Sets(b - a)
+                near = np.zeros(b - a, bool)
+                near[lead - a] = True
+                for x, y, here in rows.compare(np.asarray([lead]), every):
+                    joined.join(x - a, y - a)
+                    near[y - a] = True
+                    edges += _pairs(rep, x[here], y[here])
+                rest = every[~near]
+                if len(rest):
+                    for x, y, here in rows.compare(rest, every):
+                        new = joined.join(x - a, y - a)
+                        if kind is _Signatures:
+                            edges += _pairs(rep, x[here], y[here])
+                        else:
+                            edges += _pairs(rep, *_rows(new, a))
+                if blocks[a] > 1:
+                    home = joined.top(lead - a)
+                    loose += [(int(key[a]), int(rep[k])) for k in rest.tolist() if joined.top(k - a) != home]
+            if edges or loose:
+                yield _found(edges, loose)
+
+    return run
+
+
+def _across(kind) -> object:
+    """Edges between the loose rows and all rows of each group (key, i, j), in which `side` 0 comes before 1."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _groups(batches, 3):
+            starts, rows = _starts(batch, 3), kind(batch, 5)
+            side, rep = (batch.column(k).to_numpy(zero_copy_only=False) for k in (3, 4))
+            edges: list[tuple[int, int]] = []
+            for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+                cut = a + int(np.count_nonzero(side[a:b] == 0))
+                if a < cut < b:
+                    joined = _Sets(b - a)
+                    for x, y, _ in rows.compare(np.arange(a, cut), np.arange(cut, b)):
+                        edges += _pairs(rep, *_rows(joined.join(x - a, y - a), a))
+            if edges:
+                yield _found(edges, [])
+
+    return run
+
+
+def _linked(rows: DataFrame, key: str, kind) -> DataFrame:
+    """Edges (a, b) that connect whatever is alike within the groups of rows (key, blocks, lead, rep, those of kind).
+
+    A group is dealt out over its blocks, each with the group's least rep, so the work is linear in what is alike. The rows that aren't
+    connected with it there are compared with all rows of their group, in blocks too: those alone are copied, once for each block of
+    the others.
+    """
+    own = [c.split(" ")[0] for c in kind.SCHEMA.split(", ")]
+    block = F.pmod(F.xxhash64("rep"), F.col("blocks"))
+    dealt = rows.withColumn("i", F.explode(F.when((F.col("blocks") > 1) & (F.col("rep") == F.col("lead")), F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array(block))))
+    dealt = dealt.select(key, "i", "blocks", "rep", *own).repartition(key, "i").sortWithinPartitions(key, "i")
+    found = materialise(dealt.mapInArrow(_within(kind), _FOUND), "found")
+    edges, loose = found.where("not loose").select("a", "b"), found.where("loose").select(F.col("a").alias(key), F.col("b").alias("rep")).distinct()
+    if not loose.limit(1).count():
+        return edges
+    counts = materialise(loose.groupBy(key).agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias("parts")), "loose")
+    every = rows.join(small(counts), key).select(key, "parts", "blocks", "rep", *own)
+    left = every.join(small(loose), [key, "rep"], "left_semi").withColumn("i", F.pmod(F.xxhash64("rep", F.lit(7)), F.col("parts"))).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    right = every.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).withColumn("j", block)
+    both = [x.select(key, "i", "j", F.lit(n).alias("side"), "rep", *own) for n, x in enumerate((left, right))]
+    met = both[0].unionByName(both[1]).repartition(key, "i", "j").sortWithinPartitions(key, "i", "j", "side")
+    return edges.unionByName(met.mapInArrow(_across(kind), _FOUND).select("a", "b"))
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(rep, root) for each node of the graph, root being the least of its component: alternating stars, written at each round."""
+    """(rep, root) for each node of the graph, root being the least of its component: alternating stars, written at each round.
+
+    The stars' centres are written before their joins, so that few of them are broadcast and the edges of a hot one can be split.
+    """
     at = materialise(edges.select("a", "b").distinct(), "edges")
     while True:
         both = at.unionByName(at.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("m").alias("a"), "b").distinct()
-        down = large.groupBy("b").agg(F.min("a").alias("m"))
-        small = large.join(down, "b").where("a <> m").select(F.col("m").alias("a"), F.col("a").alias("b"))
-        after = materialise(small.unionByName(down.select(F.col("m").alias("a"), "b")).distinct(), "edges")
+        least = materialise(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")), "least")
+        large = both.join(small(least), "a").where("b > a").select(F.col("m").alias("a"), "b").distinct()
+        down = materialise(large.groupBy("b").agg(F.min("a").alias("m")), "down")
+        moved = large.join(small(down), "b").where("a <> m").select(F.col("m").alias("a"), F.col("a").alias("b"))
+        after = materialise(moved.unionByName(down.select(F.col("m").alias("a"), "b")).distinct(), "edges")
         told = [x.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first() for x in (at, after)]
         at = after
         if told[0] == told[1]:
@@ -306,49 +385,50 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     found = materialise(features(docs), "features")
     classes = found.where("doc_id is not null and n_shingles > 0").groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.min("sig").alias("sig"), F.count("*").alias("c"))
     classes = materialise(classes, "classes")
-    keys = classes.select("rep", "sig").mapInArrow(_keys, "key long, rep long").repartition("key").sortWithinPartitions("key")
-    shared = keys.mapInArrow(_shared, "key long, rep long, c long")
+    keys = classes.select("rep", "sig").mapInArrow(_keys, "key long, rep long")
+    # Counted before they are joined: a key that many share is split over tasks, and most keys are of one row and go.
+    counts = materialise(keys.groupBy("key").agg(F.count("*").alias("c"), F.min("rep").alias("lead")).where("c > 1").select("key", F.ceil(F.col("c") / F.lit(BLOCK)).alias("blocks"), "lead"), "keys")
+    shared = materialise(keys.join(small(counts), "key"), "shared")
     signed = shared.join(classes.select("rep", "n_shingles", "sig"), "rep")
-    grouped = _blocked(signed, "key", "c").select("key", "i", "j", "rep", "n_shingles", "sig").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    parts = materialise(components(grouped.mapInArrow(_near, "a long, b long")), "parts")
+    parts = materialise(components(_linked(signed, "key", _Signatures)), "parts")
 
-    sized = parts.join(parts.groupBy("root").agg(F.count("*").alias("c")), "root").select("rep", F.col("root").alias("part"), "c")
-    sized = materialise(sized, "members")
-    few = sized.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), text_bytes().alias("text")).join(F.broadcast(sized) if few else sized, "rep")
+    members = parts.join(classes.select("rep", "n_shingles"), "rep")
+    sized = members.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / F.lit(BLOCK)), F.ceil(F.sum("n_shingles") / F.lit(BLOCK_SHINGLES))).alias("blocks"))
+    sized = materialise(parts.join(small(materialise(sized, "sizes")), "root").select("rep", F.col("root").alias("part"), "blocks"), "members")
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), text_bytes().alias("text")).join(small(sized), "rep")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = word_hashes()
         for batch in slices(batches):
-            got = [shingle_set(t, hashes).astype("<u8").tobytes() for t in batch.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(got, pa.binary())], names=["rep", "part", "c", "shingles"])
+            got = [shingle_set(t).astype("<u8").tobytes() for t in batch.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(got, pa.binary())], names=["rep", "part", "blocks", "shingles"])
 
-    whole = texts.select("rep", "part", "c", "text").mapInArrow(sets, "rep long, part long, c long, shingles binary")
-    checked = _blocked(whole, "part", "c").select("part", "i", "j", "rep", "shingles").repartition("part", "i", "j").sortWithinPartitions("part", "i", "j")
+    whole = texts.select("rep", "part", "blocks", "text").mapInArrow(sets, "rep long, part long, blocks long, shingles binary").withColumn("lead", F.col("part"))
+    links = _linked(whole.where("octet_length(shingles) > 0"), "part", _Shingles)
     copies = classes.where("c > 1").select("d1", "d2", "n_shingles", "rep")
     placed = found.join(copies, ["d1", "d2", "n_shingles"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")).alias("rep"))
     placed = materialise(placed, "placed")
     # A doc_id with several texts joins their classes.
     least = placed.where("doc_id is not null").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("m")).where("a < m").drop("m")
     joined = placed.join(least, "doc_id").where("rep <> a").select("a", F.col("rep").alias("b"))
-    roots = components(checked.mapInArrow(_links, "a long, b long").unionByName(joined))
+    roots = components(links.unionByName(joined))
     ended = placed.join(roots, "rep", "left").select("doc_id", "n_shingles", F.coalesce("root", "rep").alias("component_id"))
     return ended.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each component, with all its columns; of rows that share its doc_id, one (the least by text)."""
-    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    few = kept.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
-    ids = F.broadcast(kept) if few else kept
-    rows = docs.join(ids, F.col("doc_id").cast("long").eqNullSafe(F.col("_kept")), "left_semi")
-    repeated = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 and doc_id is not null").select(F.col("doc_id").alias("_again"))
-    if not repeated.limit(1).count():
-        return rows
-    few = repeated.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
-    again = F.broadcast(repeated) if few else repeated
-    once = rows.join(again, F.col("doc_id") == F.col("_again"), "left_semi").withColumn("_k", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where("_k = 1").drop("_k")
-    return rows.join(again, F.col("doc_id") == F.col("_again"), "left_anti").unionByName(once)
+    """One document of each group of near-duplicates, with all its columns. Rows with a null doc_id, or one that other rows have too, go by their
+    id and text: rows alike in both are one (that with the least other columns), others are grouped by their texts alone. A group keeps its
+    least doc_id, such rows last."""
+    id_, row = F.col("doc_id").cast("long"), F.lit(1 << 62) + F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 62))
+    repeated = materialise(docs.where(id_.isNotNull()).groupBy(id_.alias("_id")).agg(F.count("*").alias("n")).where("n > 1").select("_id", F.lit(True).alias("_again")), "repeated")
+    any_ = repeated.limit(1).count() > 0
+    marked = docs.join(small(repeated), id_ == F.col("_id"), "left").drop("_id") if any_ else docs.withColumn("_again", F.lit(None).cast("boolean"))
+    marked = marked.withColumn("_row", F.when(id_.isNull() | F.col("_again"), row).otherwise(id_))
+    kept = materialise(near_duplicates(marked.select(F.col("_row").alias("doc_id"), "text")).where("kept").select(F.col("doc_id").alias("_kept")).distinct(), "kept")
+    rows = marked.join(small(kept), F.col("_row") == F.col("_kept"), "left_semi")
+    several = id_.isNull() | F.coalesce("_again", F.lit(False))
+    once = rows.where(several).groupBy("_row").agg(F.min(F.struct(*docs.columns)).alias("_r")).select("_r.*")
+    return rows.where(~several).select(*docs.columns).unionByName(once)
 
 
 def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
