@@ -1,6 +1,10 @@
 """From raw documents to token ids: language, near-duplicates, benchmark leaks, source mix, packed tokens.
 
 Each stage takes all that the one before kept, written as Parquet and read again; all but the last return the columns of documents.
+
+Nulls and edge cases: a null text, or one without a letter, goes at the first stage (no language is recognised); null languages, sources and
+ids stay. Very long texts are read whole. Rows alike in id and text are one document from the second stage on; rows that share an id only
+stay apart. An empty table gives an empty result; other columns go through the first four stages unchanged.
 """
 
 from __future__ import annotations
@@ -14,7 +18,8 @@ from titlelink.llm.common import materialise, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised; the model learns from a bounded sample of the documents with a language."""
+    """Documents whose language is recognised; the model learns from a bounded sample of the documents with a language. Without any, only
+    texts without a letter go."""
     return language_id.accepted(docs, language_id.fit(docs))
 
 
