@@ -6,7 +6,8 @@ diagonals; bands of twice that width, overlapping by half, each hold every such
 occur in any item, by a bitmap; (2) windows with enough of them for the items of some length; (3) there, the distinct q-grams
 of each item in each band, counted against its bound; (4) a banded alignment of the item with what is left. Steps 1 to 3 lose nothing.
 
-Items under 32 bytes are no evidence of copying and are not searched. The items are broadcast in parts of at most 8 MB of text; a larger
+Items under LEAST bytes leave the bound too little to go by: they are found where they stand without an edit between words' ends, all at once
+by an automaton. Items are made distinct before they are collected, and broadcast in parts of about 8 MB of text; a larger
 benchmark takes more passes over the documents.
 
 Nulls and edge cases: null or empty texts and items match nothing; a null id stays null; repeated documents each give their rows and
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -90,16 +92,20 @@ class Index:
     place: np.ndarray
     bound: np.ndarray  # of distinct q-grams, for each item
     edits: np.ndarray
+    short: list[bytes]  # the items under LEAST bytes; they count on from the others
 
 
 def build(rows: list[tuple[int | None, bytes]], rate: float = RATE) -> Index | None:
     texts: dict[bytes, int | None] = {}
     for i, text in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0), reverse=True):
-        if len(clean_ := normal(text or b"")) >= LEAST:
+        if clean_ := normal(text or b""):
             texts[clean_] = i
     if not texts:
         return None
-    items = sorted(texts)
+    items, short = (sorted(t for t in texts if (len(t) < LEAST) == small) for small in (False, True))
+    ids = [texts[t] for t in items + short]
+    if not items:
+        return Index(ids, items, *[np.zeros(0, np.int64)] * 6, short)
     found = [codes(t) for t in items]
     code = np.concatenate(found)
     item = np.repeat(np.arange(len(items)), [len(c) for c in found])
@@ -109,12 +115,22 @@ def build(rows: list[tuple[int | None, bytes]], rate: float = RATE) -> Index | N
     edits = np.asarray([budget(len(t), rate) for t in items])
     # Q-grams that repeat inside an item are counted by place; an alignment keeps places, so the bound holds for places.
     bound = np.asarray([len(t) - Q + 1 - k * Q for t, k in zip(items, edits, strict=True)])
-    return Index([texts[t] for t in items], items, grams, np.append(first, len(code)), item[order], place[order], bound, edits)
+    return Index(ids, items, grams, np.append(first, len(code)), item[order], place[order], bound, edits, short)
 
 
 class Finder:
     def __init__(self, index: Index):
         self.index = index
+        self.automaton = None
+        if index.short:
+            import ahocorasick
+
+            self.automaton = ahocorasick.Automaton()
+            for k, item in enumerate(index.short, len(index.items)):
+                self.automaton.add_word(item.decode("latin-1"), (k, len(item)))
+            self.automaton.make_automaton()
+        if not index.items:
+            return
         self.map = np.zeros(1 << MAP_BITS, bool)
         self.map[(index.grams * _MIX) >> np.uint64(64 - MAP_BITS)] = True
         sizes = np.asarray([len(t) for t in index.items])
@@ -133,6 +149,18 @@ class Finder:
 
     def find(self, data: bytes) -> list[tuple[int, int, int, int]]:
         """(item, edits, start, end) of each item in the normalised text, at its best place."""
+        return (self._long(data) if self.index.items else []) + (self._short(data) if self.automaton else [])
+
+    def _short(self, data: bytes) -> list[tuple[int, int, int, int]]:
+        found: dict[int, tuple[int, int, int]] = {}
+        joins = lambda k: 0 <= k < len(data) and (data[k] >= 128 or chr(data[k]).isalnum())
+        for last, (item, size) in self.automaton.iter(data.decode("latin-1")):
+            start, end = last - size + 1, last + 1
+            if item not in found and not (joins(start - 1) and joins(start)) and not (joins(end) and joins(last)):
+                found[item] = (0, start, end)
+        return [(k, *at) for k, at in sorted(found.items())]
+
+    def _long(self, data: bytes) -> list[tuple[int, int, int, int]]:
         index = self.index
         code = codes(data)
         n = len(code)
@@ -208,35 +236,30 @@ def _part(docs: DataFrame, index: Index) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text")).mapInArrow(run, HITS)
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
-    """(doc_id, item_id, edits, start, end): the items found in each document, each at its best place in the normalised text."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), text_bytes().alias("text"))
+def _indexes(benchmark: DataFrame, rate: float) -> Iterator[Index]:
+    """The items in parts of about PART_BYTES of text, each text once under its least id, however often it stands there."""
+    items = benchmark.where("text is not null").groupBy(text_bytes().alias("text")).agg(F.min(F.col("item_id").cast("long")).alias("item_id"))
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-total // PART_BYTES))
-    out = None
     for k in range(parts):
-        rows = items.where(F.pmod(F.xxhash64("text"), F.lit(parts)) == k).collect()  # PART_BYTES of text, give or take
+        rows = items.where(F.pmod(F.xxhash64("text"), F.lit(parts)) == k).collect()
         if index := build([(r.item_id, bytes(r.text)) for r in rows], rate):
-            found = _part(docs, index)
-            out = found if out is None else out.unionByName(found)
-    return out if out is not None else docs.sparkSession.createDataFrame([], HITS)
+            yield index
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
+    """(doc_id, item_id, edits, start, end): the items found in each document, each at its best place in the normalised text."""
+    found = [_part(docs, index) for index in _indexes(benchmark, rate)]
+    return reduce(DataFrame.unionByName, found) if found else docs.sparkSession.createDataFrame([], HITS)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
     """The documents in which no item is found, with all their columns."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), text_bytes().alias("text"))
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(1, -(-total // PART_BYTES))
-    out = docs
-    for k in range(parts):
-        rows = items.where(F.pmod(F.xxhash64("text"), F.lit(parts)) == k).collect()
-        index = build([(r.item_id, bytes(r.text)) for r in rows], rate)
-        if index is None:
-            continue
-        held = docs.sparkSession.sparkContext.broadcast(index)
-        at = docs.columns.index("text")
+    out, at = docs, docs.columns.index("text")
+    for index in _indexes(benchmark, rate):
+        held = docs.sparkSession.sparkContext.broadcast(index)  # about PART_BYTES of items
 
-        def run(batches, held=held, at=at):
+        def run(batches, held=held):
             finder = Finder(held.value)
             for batch in slices(batches):
                 keep = [not finder.find(normal((t or "").encode())) for t in batch.column(at).to_pylist()]

@@ -9,8 +9,9 @@ has not reached follow at its end, and the last slot is cut to the target. A doc
 Targets: sources by code point, null last, weigh 5, 2, 1 in turn and share all words; a target stops at `most` times its source's
 size, and the excess is shared again by weight until no target is above.
 
-No step needs a source in one task: a stream's offsets are sums over hash buckets plus a running sum in each bucket, and ranks are
-counts over chunks of slots plus a running number in each chunk. The driver holds one row for each source.
+No step needs a source's rows in one task: a stream's offsets are sums over hash buckets plus a running sum in each bucket, and ranks are
+counts over chunks of slots plus a running number in each chunk. Only the sums meet: one for 100,000 documents, and one for 4,096 slots (a
+million words) of a source. The driver holds one row for each source, as the targets depend on all of them.
 
 Nulls and edge cases: a null or empty text, or one without words, has size 0 and is taken for 0 words; a null source is a source; a null
 doc_id is a document; rows that repeat each count and give a row; an empty table gives an empty result; other columns are ignored.
@@ -32,7 +33,8 @@ POINTS = 1 << 31
 #: Odd, and the nearest to 2**31 divided by the golden ratio.
 STEP = 1327217885
 CELL = 1 << 19
-BUCKETS = 1024
+#: The fewest buckets of a stream, and the rows of one beyond that.
+BUCKETS, BUCKET_ROWS = 1024, 100_000
 CHUNK = 1 << 12
 
 
@@ -84,11 +86,13 @@ def schedule(docs: DataFrame, block: int = BLOCK_WORDS, weights: tuple[int, ...]
     spark = docs.sparkSession
     size = F.coalesce(F.regexp_count("text", F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
     sized = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), F.xxhash64("text").alias("th")), "sizes")
-    sizes = sorted(((r.source, r.n) for r in sized.groupBy("source").agg(F.sum("size").alias("n")).collect()), key=lambda r: (r[0] is None, r[0] or ""))
+    counted = sized.groupBy("source").agg(F.sum("size").alias("n"), F.count("*").alias("rows")).collect()
+    sizes = sorted(((r.source, r.n) for r in counted), key=lambda r: (r[0] is None, r[0] or ""))
+    buckets = max(BUCKETS, sum(r.rows for r in counted) // BUCKET_ROWS)
     goals = targets(sizes, weights, most)
     facts = spark.createDataFrame([(k, s, n, g) for k, ((s, n), g) in enumerate(zip(sizes, goals, strict=True))], "src int, source string, source_size long, target double")
     placed = sized.join(F.broadcast(facts), sized["source"].eqNullSafe(facts["source"])).select("doc_id", "th", "size", "src", "source_size", "target")
-    placed = placed.withColumn("h", F.xxhash64("doc_id", "th", F.lit(11))).withColumn("bucket", F.pmod("h", F.lit(BUCKETS)))
+    placed = placed.withColumn("h", F.xxhash64("doc_id", "th", F.lit(11))).withColumn("bucket", F.pmod("h", F.lit(buckets)))
     sums = placed.groupBy("src", "bucket").agg(F.sum("size").alias("n"))
     sums = sums.select("src", "bucket", (F.sum("n").over(Window.partitionBy("src").orderBy("bucket")) - F.col("n")).alias("before"))
     inside = Window.partitionBy("src", "bucket").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
