@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from titlelink.errors import BadJson, BadPage, Cancelled, EmptyCatalog, NotLoaded, OutOfIndex, PrivateList, SourceRejected, StaleVersion
+from titlelink.errors import BadDigest, BadJson, BadPage, Cancelled, CatalogIo, EmptyCatalog, NotLoaded, OutOfIndex, PrivateList, SourceRejected, StaleVersion
 from titlelink.functions import text as X
 from titlelink.operators import match, merge, review, score, search
 from titlelink.plans.engine import Cell, Engine
@@ -339,3 +339,23 @@ def test_final_episode_needs_an_episode(spark):
     cons = "named_struct('season', cast(null as double), 'part', cast(null as double), 'episode', cast(null as double), 'is_final_season', false, 'is_final_part', false, 'is_final_episode', true)"
     got = [spark.range(1).select(F.expr(meta.format(e=e)).alias("m"), F.expr(cons).alias("c")).select(score.season_score(F.col("m"), F.col("c"))).first()[0] for e in ("null", "5")]
     assert got == [0.4, 1.0]
+
+
+def test_download(spark, catalog_file, tmp_path):
+    import hashlib
+
+    import zstandard
+
+    packed = zstandard.ZstdCompressor().compress(open(catalog_file, "rb").read())
+    (tmp_path / "c.zst").write_bytes(packed)
+    target, digest = str(tmp_path / "c.jsonl"), hashlib.sha256(packed).hexdigest()
+    engine = Engine(spark, 2026)
+    assert engine.download_catalog(f"file://{tmp_path}/c.zst", target, "r1", digest.upper()) == 1 and engine.catalog_ids().count() > 0
+    side = export.read_sidecar(f"{target}.json")
+    assert side == {"release": "r1", "sha256": digest, "compressed_size": len(packed)} and not engine.check_catalog_update(side, side) and engine.check_catalog_update(side, side | {"release": "r2"})
+    before = open(target).read()
+    with pytest.raises(BadDigest):
+        engine.download_catalog(f"file://{tmp_path}/c.zst", target, "r2", "0" * 64)
+    with pytest.raises(CatalogIo):
+        engine.download_catalog(f"file://{tmp_path}/none.zst", target, "r2")
+    assert open(target).read() == before and sorted(x.name for x in tmp_path.iterdir()) == ["c.jsonl", "c.jsonl.json", "c.zst"]

@@ -66,6 +66,11 @@ class Engine:
         """Whether the release that a site tells of (release, sha256, compressed_size) is another than the one at hand."""
         return catalogs.needs_update(local, remote)
 
+    def download_catalog(self, url: str, path: str, release: str, sha256: str | None = None) -> int:
+        """Fetch a release of the catalogue, and load it."""
+        catalogs.download(url, path, release, sha256)
+        return self.load_catalog(path)
+
     def load_catalog(self, path: str) -> int:
         catalogs.header(self.spark, path)
         rows = catalogs.load(self.spark, path).persist()

@@ -5,12 +5,15 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import shutil
 import tempfile
+import urllib.error
+import urllib.request
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..errors import BadDigest, BadEnum, BadJson, EmptyCatalog
+from ..errors import BadDigest, BadEnum, BadJson, CatalogHttp, CatalogIo, EmptyCatalog, MissingAsset
 from ..functions.text import first_linked_id, normalize_title
 from ..functions.titles import consolidate, with_title_meta
 from ..operators.merge import last_wins
@@ -107,6 +110,29 @@ def decompress(source: str, target: str) -> None:
         raise
 
 
+def download(url: str, target: str, release: str, sha256: str | None = None) -> str:
+    """Fetch a packed catalogue, check it, unpack it to the target and write what it was beside it; the target stays if any of it fails."""
+    from ..sinks.export import write_sidecar
+
+    handle, packed = tempfile.mkstemp(dir=os.path.dirname(os.path.abspath(target)))
+    try:
+        try:
+            with os.fdopen(handle, "wb") as out, urllib.request.urlopen(url) as answer:
+                shutil.copyfileobj(answer, out)
+        except urllib.error.HTTPError as e:
+            raise (MissingAsset if e.code == 404 else CatalogHttp)(f"the catalogue's address answers {e.code}", url=url, status=e.code) from e
+        except OSError as e:
+            raise CatalogIo("the catalogue can't be fetched", url=url, cause=str(e)) from e
+        got = file_digest(packed)
+        if sha256 is not None and got != sha256.strip().lower():
+            raise BadDigest("the file isn't what was published", expected=sha256, got=got)
+        decompress(packed, target)
+        write_sidecar(f"{target}.json", release, got, os.path.getsize(packed))
+    finally:
+        os.unlink(packed)
+    return got
+
+
 def needs_update(local: dict | None, remote: dict | None) -> bool:
     keys = ("release", "sha256", "compressed_size")
     pick = lambda d: None if d is None else tuple(d.get(k) for k in keys)
