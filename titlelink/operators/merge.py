@@ -40,7 +40,10 @@ def with_details(items: DataFrame, details: list[DataFrame], key: str, fields: l
     found = F.coalesce(*[F.when(F.col(n).isNotNull(), F.lit(k)) for k, n in enumerate(names)])
     if strict:
         out = out.withColumn(key, F.when(found.isNull(), F.raise_error(F.concat(F.lit("no detail for "), F.col(key).cast("string")))).otherwise(F.col(key)))
-    picked = [F.coalesce(*[F.when(found == k, F.col(n)[f]) for k, (d, n) in enumerate(zip(details, names, strict=True)) if f in d.columns], *([F.col(f)] if f in items.columns else [])).alias(f) for f in fields]
+    picked = [F.coalesce(
+        *[F.when(found == k, F.col(n)[f]) for k, (d, n) in enumerate(zip(details, names, strict=True)) if f in d.columns],
+        *([F.col(f)] if f in items.columns else []),
+    ).alias(f) for f in fields]
     return out.select(*[c for c in items.columns if c not in fields], *picked)
 
 

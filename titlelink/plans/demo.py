@@ -76,7 +76,10 @@ def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     date = F.when(k % 13 != 0, F.to_date("o_orderdate"))
     number = lambda x, every, step: F.when(x % every != 0, (x % step).cast("double"))
-    meta = F.struct(F.when(k % 17 == 0, 99.0).otherwise(number(k, 3, 4)).alias("season"), number(k, 5, 3).alias("part"), F.when(k % 19 == 0, 99.0).otherwise(number(k, 2, 5)).alias("episode"))
+    meta = F.struct(
+        F.when(k % 17 == 0, 99.0).otherwise(number(k, 3, 4)).alias("season"), number(k, 5, 3).alias("part"),
+        F.when(k % 19 == 0, 99.0).otherwise(number(k, 2, 5)).alias("episode"),
+    )
     cons = F.struct(
         F.when(c % 17 == 0, 99.0).otherwise(number(c, 4, 4)).alias("season"), number(c, 6, 3).alias("part"), F.lit(None).cast("double").alias("episode"),
         (c % 10 == 0).alias("is_final_season"), (c % 14 == 0).alias("is_final_part"), (c % 15 == 0).alias("is_final_episode"),
@@ -91,7 +94,10 @@ def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 def winners(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A list of labelled documents: the winner is another document's id, or none."""
     i = F.col("doc_id")
-    return table(spark, sf_dir, "labels").select(i.alias("source_id"), i.alias("list_pos"), F.when(F.col("quality") == 1, i % 50).alias("winner_id"), ((F.col("quality") == 1) | (i % 2 == 0)).alias("has_top"))
+    return table(spark, sf_dir, "labels").select(
+        i.alias("source_id"), i.alias("list_pos"), F.when(F.col("quality") == 1, i % 50).alias("winner_id"),
+        ((F.col("quality") == 1) | (i % 2 == 0)).alias("has_top"),
+    )
 
 
 def overrides(spark: SparkSession, sf_dir: str) -> DataFrame:

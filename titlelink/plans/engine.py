@@ -128,7 +128,10 @@ class Engine:
             linked = self.source.load().value.where(F.col("id") == source_id).select(*keep)
             row, preset = asked.crossJoin(F.broadcast(linked.limit(1))), score.QUERY_LINKED  # one row beside one row
         else:
-            nothing = {f"has_{x}": F.lit(False) for x in ("date", "year", "type", "status", "episodes")} | {"date": F.lit(None).cast("date"), "year": F.lit(None).cast("int"), "anime_type": F.lit(None).cast("string"), "status": F.lit(None).cast("string"), "episodes": F.lit(None).cast("int")}
+            nothing = {f"has_{x}": F.lit(False) for x in ("date", "year", "type", "status", "episodes")} | {
+                "date": F.lit(None).cast("date"), "year": F.lit(None).cast("int"), "anime_type": F.lit(None).cast("string"),
+                "status": F.lit(None).cast("string"), "episodes": F.lit(None).cast("int"),
+            }
             row, preset = asked.withColumns(nothing), score.QUERY_FREE
         row = row.withColumn("list_pos", F.lit(0).cast("long"))
         found = search.search(row.select(F.col("list_pos").alias("q"), F.col("norm_title").alias("text")), index, search.Options.service(limit, threshold))

@@ -47,12 +47,16 @@ f AS (SELECT id, bool_or(season = 99) AS final, max(part) AS part FROM rows_ GRO
 SELECT f.id, CASE WHEN sb.v IS NOT NULL THEN sb.v WHEN f.final THEN 99.0::DOUBLE END AS season, f.part, coalesce(f.final, false) AS final FROM f LEFT JOIN sb USING (id)"""
 ORACLES["hashed_id"] = "SELECT c_custkey, substr(sha256(c_name), 1, 16) AS hex FROM customer"
 ORACLES["linked_ids"] = "SELECT doc_id, CASE WHEN doc_id % 5 <> 0 THEN doc_id END AS linked, doc_id AS paged, doc_id::VARCHAR || '-t' AS slug FROM documents"
-ORACLES["page_count"] = r"""SELECT page_id, coalesce(list_max(list_transform(regexp_extract_all(url || ' ' || html, '[?&]page=(\d+)', 1), lambda x: TRY_CAST(x AS INTEGER))), 1)::BIGINT AS last_page FROM pages"""
+ORACLES[
+    "page_count"
+] = r"""SELECT page_id, coalesce(list_max(list_transform(regexp_extract_all(url || ' ' || html, '[?&]page=(\d+)', 1), lambda x: TRY_CAST(x AS INTEGER))), 1)::BIGINT AS last_page FROM pages"""
 ORACLES["cell_parsers"] = """
 WITH r AS (SELECT o_orderkey AS k, o_orderkey % 4 = 0 AS bare, o_orderkey % 30 AS w, o_orderkey % 7 AS t FROM orders)
 SELECT k, CASE WHEN bare THEN 0 ELSE w END AS watched, CASE WHEN bare THEN NULL ELSE t END AS total, CASE WHEN bare THEN 0 ELSE least(w, t) END AS clamped, k % 11 AS rating, 'Ongoing' AS status,
 CASE WHEN k % 3 = 2 THEN 'x' END AS cell, CASE WHEN k % 103 = 0 THEN 0 WHEN k % 103 >= 100 THEN 100 ELSE least(99, floor(((k % 103)::DOUBLE / 100) * 100 + 0.5))::BIGINT END AS percent FROM r"""
-ORACLES["loose_dates"] = "SELECT event_id AS k, CASE event_id % 3 WHEN 0 THEN strftime(ts, '%Y-%m-%d') WHEN 1 THEN strftime(make_timestamp((floor(epoch(ts))::BIGINT + 3600) * 1000000), '%Y-%m-%d') END AS day FROM events"
+ORACLES[
+    "loose_dates"
+] = "SELECT event_id AS k, CASE event_id % 3 WHEN 0 THEN strftime(ts, '%Y-%m-%d') WHEN 1 THEN strftime(make_timestamp((floor(epoch(ts))::BIGINT + 3600) * 1000000), '%Y-%m-%d') END AS day FROM events"
 
 # --- search ---
 
@@ -207,13 +211,17 @@ WITH {_FOUND}, {matched(LOOSE, only="WHERE q NOT IN (SELECT q FROM direct)")},
 fin AS (SELECT *, wins AND row_number() OVER (PARTITION BY id, wins ORDER BY round(f, 9) DESC, q) = 1 AS is_winner FROM won)
 SELECT q, id, round(f, 6) AS final_score, place AS rank, is_top, is_winner, false AS is_direct FROM fin
 UNION ALL SELECT q, id, 1.0, 1, true, true, true FROM direct"""
-ORACLES["fuzzy_match_query"] = f"WITH {BASE}, {scored('loose')} {ranked(0.1, 20)}, {TABLES}, {matched(score.QUERY_LINKED)} SELECT q, id, round(f, 6) AS final_score, place AS rank FROM won"
+ORACLES[
+    "fuzzy_match_query"
+] = f"WITH {BASE}, {scored('loose')} {ranked(0.1, 20)}, {TABLES}, {matched(score.QUERY_LINKED)} SELECT q, id, round(f, 6) AS final_score, place AS rank FROM won"
 ORACLES["urgency_order"] = """
 SELECT o_orderkey AS list_pos, dense_rank() OVER (ORDER BY CASE WHEN o_orderkey % 10 <> 0 THEN o_orderdate::DATE END DESC NULLS FIRST, o_orderkey) AS place FROM orders"""
 
 # --- lists ---
 
-ORACLES["merge_last_wins"] = "SELECT o_custkey AS id, max(o_orderkey) AS list_pos, arg_max(o_totalprice, o_orderkey) AS o_totalprice, arg_max(o_orderstatus, o_orderkey) AS o_orderstatus FROM orders GROUP BY o_custkey"
+ORACLES[
+    "merge_last_wins"
+] = "SELECT o_custkey AS id, max(o_orderkey) AS list_pos, arg_max(o_totalprice, o_orderkey) AS o_totalprice, arg_max(o_orderstatus, o_orderkey) AS o_orderstatus FROM orders GROUP BY o_custkey"
 _MERGED = "SELECT o_custkey AS id, o_orderkey AS pos, CASE o_orderstatus WHEN 'F' THEN 3 WHEN 'O' THEN 2 ELSE 1 END AS rank, CASE WHEN o_orderkey % 3 <> 0 THEN o_totalprice END AS price, CASE WHEN o_orderkey % 4 <> 0 THEN o_orderpriority END AS priority FROM orders"
 ORACLES["merge_precedence"] = f"""
 WITH r AS ({_MERGED}), t AS (SELECT *, max(rank) OVER (PARTITION BY id) AS best FROM r), s AS (SELECT *, min(CASE WHEN rank = best THEN pos END) OVER (PARTITION BY id) AS start FROM t)
@@ -245,14 +253,18 @@ UNION ALL SELECT 'manual', source_id, bucket FROM state WHERE bucket < 2
 UNION ALL SELECT 'manual', source_id, bucket FROM state WHERE bucket = 2 AND (is_displaced OR override_id IS NOT NULL)
 UNION ALL SELECT 'automatic', source_id, bucket FROM state WHERE bucket = 2
 UNION ALL SELECT 'ignored', source_id, bucket FROM state WHERE is_ignored"""
-ORACLES["match_summary"] = f"WITH {REVIEW} SELECT count(*) AS total, count(winner_id) AS winners, count(*) FILTER (has_top) AS with_top, count(*) FILTER (winner_id IS NULL AND NOT has_top) AS unmatched FROM w"
+ORACLES[
+    "match_summary"
+] = f"WITH {REVIEW} SELECT count(*) AS total, count(winner_id) AS winners, count(*) FILTER (has_top) AS with_top, count(*) FILTER (winner_id IS NULL AND NOT has_top) AS unmatched FROM w"
 ORACLES["summary"] = f"""WITH {REVIEW},
 auto AS (SELECT source_id FROM w WHERE winner_id IS NOT NULL AND source_id NOT IN (SELECT source_id FROM ig) AND source_id NOT IN (SELECT source_id FROM o) AND source_id NOT IN (SELECT source_id FROM disp)),
 done AS (SELECT source_id FROM ig UNION SELECT source_id FROM o UNION SELECT source_id FROM auto),
 c AS (SELECT (SELECT count(*) FROM w) AS total, (SELECT count(*) FROM auto) AS automatic, (SELECT count(*) FROM w WHERE source_id IN (SELECT source_id FROM o)) AS manual,
   (SELECT count(*) FROM w WHERE source_id IN (SELECT source_id FROM ig)) AS ignored, (SELECT count(*) FROM w WHERE source_id IN (SELECT source_id FROM done)) AS resolved)
 SELECT total, automatic, manual, ignored, greatest(0, total - resolved) AS review, CASE WHEN automatic + manual >= total THEN 100 ELSE least(99, floor(100 * ((automatic + manual)::DOUBLE / total) + 0.5)) END::BIGINT AS percentage FROM c"""
-ORACLES["winner_claims"] = f"WITH {REVIEW} SELECT effective_id AS catalog_id, string_agg(source_id::VARCHAR, ',' ORDER BY source_id) AS sources FROM state WHERE effective_id IS NOT NULL GROUP BY effective_id"
+ORACLES[
+    "winner_claims"
+] = f"WITH {REVIEW} SELECT effective_id AS catalog_id, string_agg(source_id::VARCHAR, ',' ORDER BY source_id) AS sources FROM state WHERE effective_id IS NOT NULL GROUP BY effective_id"
 ORACLES["conflicts"] = f"WITH {REVIEW} SELECT effective_id AS catalog_id, count(*) AS n FROM state WHERE effective_id IS NOT NULL GROUP BY effective_id HAVING count(*) > 1"
 ORACLES["prune_overrides"] = f"WITH {REVIEW} SELECT source_id, catalog_id FROM o WHERE source_id IN (SELECT doc_id FROM documents) AND catalog_id IN (SELECT p_partkey FROM part)"
 
@@ -264,7 +276,9 @@ x AS (SELECT item_id AS i, CASE WHEN item_id % 3 = 0 AND item_id % 5 <> 4 THEN s
 e AS (SELECT i AS pair_pos, i * 10 AS series_animedb_id, i % 13 AS my_watched_episodes, '0000-00-00' AS my_start_date, d AS my_finish_date, i % 11 AS my_score,
   CASE s WHEN 'OnHold' THEN 'On-Hold' WHEN 'PlanToWatch' THEN 'Plan to Watch' ELSE s END AS my_status, n AS my_comments, 1::BIGINT AS update_on_import FROM x)"""
 ORACLES["export_rows"] = f"WITH {_EXPORT} SELECT * FROM e"
-_TAGS = " || ".join(f"'<{f}>' || replace(replace(replace({f}::VARCHAR, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</{f}>'" for f in ("series_animedb_id", "my_watched_episodes", "my_start_date", "my_finish_date", "my_score", "my_status", "my_comments", "update_on_import"))
+_TAGS = " || ".join(f"'<{f}>' || replace(replace(replace({f}::VARCHAR, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</{f}>'" for f in (
+    "series_animedb_id", "my_watched_episodes", "my_start_date", "my_finish_date", "my_score", "my_status", "my_comments", "update_on_import",
+))
 ORACLES["xml_lines"] = f"WITH {_EXPORT} SELECT pair_pos, '<anime>' || {_TAGS} || '</anime>' AS xml FROM e"
 
 # --- words, users and labels ---
@@ -278,7 +292,9 @@ def words(x: str, table: dict[str, str], other: str = "NULL") -> str:
     return f"CASE {x} " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in table.items()) + f" ELSE {other} END"
 
 
-ORACLES["loose_bools"] = f"SELECT o_orderkey AS k, CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE lower({picked(queries.BOOLS, 'o_orderkey')}) IN ('true', '1') END AS value FROM orders"
+ORACLES[
+    "loose_bools"
+] = f"SELECT o_orderkey AS k, CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE lower({picked(queries.BOOLS, 'o_orderkey')}) IN ('true', '1') END AS value FROM orders"
 ORACLES["site_words"] = f"""
 WITH r AS (SELECT o_orderkey AS k, lower(trim({picked(queries.TYPE_TEXTS, 'o_orderkey')})) AS t, lower(trim({picked(queries.WATCH_TEXTS, 'o_orderkey')})) AS w, lower(trim({picked(queries.STATUS_TEXTS, 'o_orderkey')})) AS s FROM orders)
 SELECT k, CASE WHEN t = 'tv' THEN 'Tv' WHEN t IN ('movie', 'film') THEN 'Movie' WHEN t = 'ova' THEN 'Ova' WHEN t = 'ona' THEN 'Ona' WHEN t IN ('special', 'specjal', 'speciale') THEN 'Special' END AS type,
@@ -300,7 +316,11 @@ SELECT doc_id, substr(regexp_replace(trim(text), '[ \t\n\x0B\f\r]+', ' ', 'g'),
 CASE WHEN doc_id % 2 = 1 AND trim(lang) <> '' THEN trim(lang) ELSE 't' || doc_id END AS search FROM documents"""
 _HOST = {p: h.replace(".", r"\.") for p, h in queries.HOSTS.items()}
 _FRONT = {p: rf"^(?:https?://)?(?:www\.)?{h}" for p, h in _HOST.items()}
-_URL = {"a": rf"{_FRONT['a']}/user/([0-9]+)(?:-[A-Za-z0-9_-]+)?/?$", "b": rf"(?i){_FRONT['b']}/user/([^/?#]+)(?:/(?:rated|watching|plans))?/?(?:[?#].*)?$", "c": rf"(?i){_FRONT['c']}/(?:anime_list|profile)/([0-9]+)(?:/[0-5])?/?(?:[?#].*)?$"}
+_URL = {
+    "a": rf"{_FRONT['a']}/user/([0-9]+)(?:-[A-Za-z0-9_-]+)?/?$",
+    "b": rf"(?i){_FRONT['b']}/user/([^/?#]+)(?:/(?:rated|watching|plans))?/?(?:[?#].*)?$",
+    "c": rf"(?i){_FRONT['c']}/(?:anime_list|profile)/([0-9]+)(?:/[0-5])?/?(?:[?#].*)?$",
+}
 ORACLES["users_typed"] = rf"""
 WITH r AS (SELECT o_orderkey AS k, trim({picked(queries.USERS, 'o_orderkey')}) AS t FROM orders),
 n AS (SELECT k, t, TRY_CAST(coalesce(nullif(regexp_extract(t, '{_URL['a']}', 1), ''), nullif(regexp_extract(t, '^(?:https?://)?(?:www\.)?([0-9]+)(?:-[A-Za-z0-9_-]+)?/?$', 1), '')) AS DECIMAL(38, 0)) AS a,

@@ -60,7 +60,10 @@ def title_meta_docs(spark, d):
 def consolidate_mode(spark, d):
     line = table(spark, d, "lineitem")
     value = F.when(F.col("l_linenumber") % 3 == 0, 99.0).when(F.col("l_suppkey") % 4 != 3, (F.col("l_suppkey") % 4).cast("double"))
-    rows = line.select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("pos"), F.struct(value.alias("season"), F.when(F.col("l_partkey") % 2 == 0, 2.0).alias("part"), F.lit(None).cast("double").alias("episode")).alias("meta"))
+    rows = line.select(
+        F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("pos"),
+        F.struct(value.alias("season"), F.when(F.col("l_partkey") % 2 == 0, 2.0).alias("part"), F.lit(None).cast("double").alias("episode")).alias("meta"),
+    )
     once = rows.groupBy("id", "pos").agg(F.min("meta").alias("meta"))
     return M.consolidate(once, "id", "pos").select("id", "cons.season", "cons.part", F.coalesce("cons.is_final_season", F.lit(False)).alias("final"))
 
@@ -72,10 +75,16 @@ def hashed_id(spark, d):
 
 @query
 def linked_ids(spark, d):
-    urls = F.array(F.concat(F.lit("https://other.example/anime/"), F.col("doc_id").cast("string")), F.concat(F.lit("https://myanimelist.net/anime/"), F.when(F.col("doc_id") % 5 == 0, F.lit("x")).otherwise(""), F.col("doc_id").cast("string")))
+    urls = F.array(
+        F.concat(F.lit("https://other.example/anime/"), F.col("doc_id").cast("string")),
+        F.concat(F.lit("https://myanimelist.net/anime/"), F.when(F.col("doc_id") % 5 == 0, F.lit("x")).otherwise(""), F.col("doc_id").cast("string")),
+    )
     page = F.concat(F.lit("https://myanimelist.net/anime/"), F.col("doc_id").cast("string"), F.lit("/name"))
     rows = table(spark, d, "documents").select("doc_id", urls.alias("urls"), page.alias("page"))
-    return rows.select("doc_id", X.first_linked_id("urls").alias("linked"), X.page_linked_id("page").alias("paged"), X.slug(F.concat(F.lit("/anime/"), F.col("doc_id").cast("string"), F.lit("-t/"))).alias("slug"))
+    return rows.select(
+        "doc_id", X.first_linked_id("urls").alias("linked"), X.page_linked_id("page").alias("paged"),
+        X.slug(F.concat(F.lit("/anime/"), F.col("doc_id").cast("string"), F.lit("-t/"))).alias("slug"),
+    )
 
 
 @query
@@ -99,7 +108,10 @@ def cell_parsers(spark, d):
     k = F.col("o_orderkey")
     prog = F.when(k % 4 == 0, F.lit("26 odc.")).otherwise(F.concat((k % 30).cast("string"), F.lit(" / "), (k % 7).cast("string"), F.lit(" odc.")))
     watched, total = X.progress("prog")
-    rows = table(spark, d, "orders").select(k.alias("k"), prog.alias("prog"), F.concat(F.lit("Status: Emitowane Ocena "), (k % 11).cast("string"), F.lit("/10")).alias("info"), F.when(k % 3 == 0, " Brak ").when(k % 3 == 1, "").otherwise(" x ").alias("c"))
+    rows = table(spark, d, "orders").select(
+        k.alias("k"), prog.alias("prog"), F.concat(F.lit("Status: Emitowane Ocena "), (k % 11).cast("string"), F.lit("/10")).alias("info"),
+        F.when(k % 3 == 0, " Brak ").when(k % 3 == 1, "").otherwise(" x ").alias("c"),
+    )
     return rows.select(
         "k", watched.cast(LONG).alias("watched"), total.cast(LONG).alias("total"), X.clamp_watched(watched, total).cast(LONG).alias("clamped"), X.rating("info").cast(LONG).alias("rating"), X.site_status(X.status_text("info")).alias("status"),
         X.cell("c").alias("cell"), X.percentage((F.col("k") % 103).cast("double") / 100).cast(LONG).alias("percent"),
@@ -293,13 +305,21 @@ def merge_last_wins(spark, d):
 @query
 def merge_precedence(spark, d):
     rank = F.when(F.col("o_orderstatus") == "F", 3).when(F.col("o_orderstatus") == "O", 2).otherwise(1)
-    rows = table(spark, d, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("list_pos"), rank.alias("rank"), F.when(F.col("o_orderkey") % 3 != 0, F.col("o_totalprice")).alias("price"), F.when(F.col("o_orderkey") % 4 != 0, F.col("o_orderpriority")).alias("priority"))
+    rows = table(spark, d, "orders").select(
+        F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("list_pos"), rank.alias("rank"),
+        F.when(F.col("o_orderkey") % 3 != 0, F.col("o_totalprice")).alias("price"),
+        F.when(F.col("o_orderkey") % 4 != 0, F.col("o_orderpriority")).alias("priority"),
+    )
     return merge.by_precedence(rows, "id", "list_pos", "rank", ["price", "priority"]).select("id", "list_pos", F.col("rank").cast(LONG).alias("rank"), "price", "priority")
 
 
 @query
 def merge_first_nonnull(spark, d):
-    rows = table(spark, d, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("list_pos"), F.when(F.col("o_orderkey") % 3 != 0, F.col("o_totalprice")).alias("price"), F.when(F.col("o_orderkey") % 4 != 0, F.col("o_orderpriority")).alias("priority"))
+    rows = table(spark, d, "orders").select(
+        F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("list_pos"),
+        F.when(F.col("o_orderkey") % 3 != 0, F.col("o_totalprice")).alias("price"),
+        F.when(F.col("o_orderkey") % 4 != 0, F.col("o_orderpriority")).alias("priority"),
+    )
     return merge.first_then_fill(rows, "id", "list_pos", ["price", "priority"])
 
 
@@ -345,7 +365,11 @@ def status_label(spark, d):
 
 @query
 def views(spark, d):
-    parts = [review.view(_state(spark, d), v).select(F.lit(v).alias("view"), "source_id", F.col("bucket").cast(LONG).alias("bucket")) for v in ("all", "manual", "automatic", "ignored")]
+    parts = [
+        review.view(_state(spark, d), v).select(
+            F.lit(v).alias("view"), "source_id", F.col("bucket").cast(LONG).alias("bucket"),
+        ) for v in ("all", "manual", "automatic", "ignored")
+    ]
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
@@ -405,7 +429,11 @@ A_STATUSES = ("Finished Airing", "Currently Airing", "Proposal", "Not yet aired"
 A_WATCH = ("completed", "plan", "in progress", "skip", "hold", "dropped")
 SECTIONS = ("rated", "watching", "plans")
 ALIASES = ("Alpha | 斗罗大陆 第二季 | ワンピース", "One Piece", "| ワンピース", "a|b|c", "進撃")
-USERS = ("12", "https://list.example/user/12-name", "www.list.example/user/007/", "list.example/user/0", "name_1", "HTTPS://ZONE.example/user/Name/rated?x=1", "zone.example/user/a%20b", "look.example/anime_list/55/3", "https://look.example/profile/9#x", " 77 ", "", "99999999999999999999")
+USERS = (
+    "12", "https://list.example/user/12-name", "www.list.example/user/007/", "list.example/user/0", "name_1",
+    "HTTPS://ZONE.example/user/Name/rated?x=1", "zone.example/user/a%20b", "look.example/anime_list/55/3", "https://look.example/profile/9#x", " 77 ",
+    "", "99999999999999999999",
+)
 HOSTS = {"a": "list.example", "b": "zone.example", "c": "look.example"}
 
 
@@ -422,8 +450,14 @@ def loose_bools(spark, d):
 @query
 def site_words(spark, d):
     k = F.col("o_orderkey")
-    rows = _orders(spark, d, t=demo.nth(TYPE_TEXTS, k), w=demo.nth(WATCH_TEXTS, k), s=demo.nth(STATUS_TEXTS, k), score=F.when(k % 4 == 0, "").when(k % 4 == 1, " brak ").otherwise((k % 11).cast("string")))
-    return rows.select("k", X.site_type("t").alias("type"), X.site_watch("w").alias("watch"), X.site_status("s").alias("status"), X.cell("score").try_cast("int").cast(LONG).alias("score"))
+    rows = _orders(
+        spark, d, t=demo.nth(TYPE_TEXTS, k), w=demo.nth(WATCH_TEXTS, k), s=demo.nth(STATUS_TEXTS, k),
+        score=F.when(k % 4 == 0, "").when(k % 4 == 1, " brak ").otherwise((k % 11).cast("string")),
+    )
+    return rows.select(
+        "k", X.site_type("t").alias("type"), X.site_watch("w").alias("watch"), X.site_status("s").alias("status"),
+        X.cell("score").try_cast("int").cast(LONG).alias("score"),
+    )
 
 
 @query
@@ -436,10 +470,16 @@ def source_a_words(spark, d):
 @query
 def sections(spark, d):
     k = F.col("o_orderkey")
-    rows = _orders(spark, d, section=demo.nth(SECTIONS, k), page=(k % 3 + 1).cast("int"), user=F.concat(F.lit("u"), (k % 5).cast("string")), episodes=F.when(k % 4 != 0, (k % 13).cast("int")))
+    rows = _orders(
+        spark, d, section=demo.nth(SECTIONS, k), page=(k % 3 + 1).cast("int"), user=F.concat(F.lit("u"), (k % 5).cast("string")),
+        episodes=F.when(k % 4 != 0, (k % 13).cast("int")),
+    )
     watch = X.section_watch("section")
     watched = F.when(watch == "Completed", F.coalesce("episodes", F.lit(0))).otherwise(0)
-    return rows.select("k", watch.alias("watch"), X.section_rank("section").cast(LONG).alias("rank"), watched.cast(LONG).alias("watched"), X.section_path("b", "user", "section", "page").alias("path"), X.section_path("c", "user", "section", "page").alias("path_c"))
+    return rows.select(
+        "k", watch.alias("watch"), X.section_rank("section").cast(LONG).alias("rank"), watched.cast(LONG).alias("watched"),
+        X.section_path("b", "user", "section", "page").alias("path"), X.section_path("c", "user", "section", "page").alias("path_c"),
+    )
 
 
 @query
@@ -451,7 +491,10 @@ def japanese_aliases(spark, d):
 @query
 def small_texts(spark, d):
     i = F.col("doc_id")
-    rows = table(spark, d, "documents").select("doc_id", "text", F.when(i % 3 == 0, "").when(i % 3 == 1, F.lit("p")).alias("picture"), F.concat(F.lit("t"), i.cast("string")).alias("thumbnail"), F.when(i % 2 == 0, "  ").otherwise(F.col("lang")).alias("asked"))
+    rows = table(spark, d, "documents").select(
+        "doc_id", "text", F.when(i % 3 == 0, "").when(i % 3 == 1, F.lit("p")).alias("picture"),
+        F.concat(F.lit("t"), i.cast("string")).alias("thumbnail"), F.when(i % 2 == 0, "  ").otherwise(F.col("lang")).alias("asked"),
+    )
     return rows.select("doc_id", X.preview("text").alias("preview"), X.cover("picture", "thumbnail").alias("cover"), X.search_text("asked", "thumbnail").alias("search"))
 
 
@@ -467,7 +510,10 @@ def users_typed(spark, d):
 def display_labels(spark, d):
     k = F.col("o_orderkey")
     date = F.when(k % 7 != 0, F.to_date("o_orderdate"))
-    rows = _orders(spark, d, type=F.when(k % 9 != 0, demo.nth(demo.TYPE_NAMES, k)), status=demo.nth(demo.STATUS_NAMES, k), season=demo.nth(demo.SEASON_NAMES, k), watch=demo.nth(demo.WATCH_NAMES, k), date=date, n=(k % 40).cast("int"))
+    rows = _orders(
+        spark, d, type=F.when(k % 9 != 0, demo.nth(demo.TYPE_NAMES, k)), status=demo.nth(demo.STATUS_NAMES, k), season=demo.nth(demo.SEASON_NAMES, k),
+        watch=demo.nth(demo.WATCH_NAMES, k), date=date, n=(k % 40).cast("int"),
+    )
     return rows.select(
         "k", L.word("type", L.TYPES).alias("type"), L.word("status", L.STATUSES).alias("status"), L.word("season", L.SEASONS).alias("season"), L.word("watch", L.WATCH).alias("watch"),
         L.premiere_year("date").alias("premiere_year"), L.premiere_date("date").alias("premiere"), L.year(F.year("date")).alias("year"), L.episode_count("n").alias("episodes"), L.duration(F.col("n") * 50).alias("duration"),
@@ -477,8 +523,13 @@ def display_labels(spark, d):
 @query
 def label_merge(spark, d):
     """The first filled value of each label, of documents' lines taken as labelled cells."""
-    lines = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("p")).agg(F.min("l_returnflag").alias("f"), F.min("l_partkey").alias("n"), F.min("l_suppkey").alias("v"))
-    cell = F.struct(F.when(F.col("f") == "A", "Status").when(F.col("f") == "N", "Odcinki").otherwise("Inne").alias("label"), F.when(F.col("n") % 3 != 0, F.col("v").cast("string")).otherwise(" ").alias("value"))
+    lines = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("p")).agg(
+        F.min("l_returnflag").alias("f"), F.min("l_partkey").alias("n"), F.min("l_suppkey").alias("v"),
+    )
+    cell = F.struct(
+        F.when(F.col("f") == "A", "Status").when(F.col("f") == "N", "Odcinki").otherwise("Inne").alias("label"),
+        F.when(F.col("n") % 3 != 0, F.col("v").cast("string")).otherwise(" ").alias("value"),
+    )
     rows = lines.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", cell.alias("c")))), lambda x: x["c"]).alias("cells"))
     return pages.labelled(rows, "id", {"status": ("Status",), "episodes": ("Odcinki",)})
 
@@ -502,7 +553,10 @@ def export_missing(spark, d):
 @query
 def detail_join(spark, d):
     k = F.col("o_orderkey")
-    items = table(spark, d, "orders").select(k.alias("id"), k.alias("pos"), F.when(k % 2 == 0, F.col("o_orderstatus")).alias("status"), F.when(k % 3 == 0, F.col("o_orderpriority")).alias("priority"))
+    items = table(spark, d, "orders").select(
+        k.alias("id"), k.alias("pos"), F.when(k % 2 == 0, F.col("o_orderstatus")).alias("status"),
+        F.when(k % 3 == 0, F.col("o_orderpriority")).alias("priority"),
+    )
     page = table(spark, d, "orders").where("o_orderkey % 4 = 0").select(k.alias("id"), F.when(k % 8 == 0, F.lit("page")).alias("status"))
     tip = table(spark, d, "orders").where("o_orderkey % 6 = 0").select(k.alias("id"), F.lit("tip").alias("priority"))
     return merge.with_details(items, [page, tip], "id", ["status", "priority"])

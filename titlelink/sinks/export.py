@@ -33,7 +33,10 @@ def export_status(c: Column) -> Column:
 
 def export_rows(pairs: DataFrame, source: DataFrame) -> DataFrame:
     """(pair_pos, the fields) for pairs (pair_pos, source_id, catalog_id); a pair without its row is an error."""
-    own = source.select(F.col("id").cast("long").alias("source_id"), F.coalesce("watched_episodes", F.lit(0)).alias("w"), "finish_date", F.coalesce("score", F.lit(0)).alias("s"), "watch_status", F.coalesce("note", F.lit("")).alias("n"), F.lit(True).alias("there"))
+    own = source.select(
+        F.col("id").cast("long").alias("source_id"), F.coalesce("watched_episodes", F.lit(0)).alias("w"), "finish_date",
+        F.coalesce("score", F.lit(0)).alias("s"), "watch_status", F.coalesce("note", F.lit("")).alias("n"), F.lit(True).alias("there"),
+    )
     rows = pairs.join(own, "source_id", "left")
     known = F.when(F.col("there"), F.col("catalog_id")).otherwise(F.raise_error(F.concat(F.lit("no row for id "), F.col("source_id").cast("string"))))
     return rows.select(

@@ -56,7 +56,9 @@ def raw_entries(spark: SparkSession, path: str) -> DataFrame:
 
 def with_titles(rows: DataFrame) -> DataFrame:
     """Normalised titles and synonyms, their numbers, and what an entry's titles agree on."""
-    long = rows.select("id", F.posexplode(F.concat(F.array("title"), F.coalesce("synonyms", F.array().cast("array<string>")))).alias("p", "t")).withColumn("norm", normalize_title("t"))
+    long = rows.select(
+        "id", F.posexplode(F.concat(F.array("title"), F.coalesce("synonyms", F.array().cast("array<string>")))).alias("p", "t"),
+    ).withColumn("norm", normalize_title("t"))
     parsed = with_title_meta(long, "norm")
     grouped = parsed.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("p", "norm", "meta"))).alias("all"))
     own = grouped.select(

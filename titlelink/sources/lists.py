@@ -56,7 +56,10 @@ def b_list(list_pages: DataFrame, detail_pages: DataFrame | None = None) -> Data
     offset = found.groupBy("section_pos").agg(F.count("*").alias("n"))
     offset = offset.select("section_pos", (F.sum("n").over(Window.orderBy("section_pos")) - F.col("n")).alias("before"))  # a row for each section
     rows = found.join(F.broadcast(offset), "section_pos").withColumn("list_pos", F.col("before") + F.row_number().over(order) - 1)
-    rows = rows.select("list_pos", "section", "slug", "title", X.rating("info").alias("score"), X.site_status(X.status_text("info")).alias("site_status"), X.section_rank("section").alias("rank"))
+    rows = rows.select(
+        "list_pos", "section", "slug", "title", X.rating("info").alias("score"), X.site_status(X.status_text("info")).alias("site_status"),
+        X.section_rank("section").alias("rank"),
+    )
     if detail_pages is not None:
         details = pages.scrape(detail_pages, "b_detail", ["slug"])
         cells = pages.labelled(details, "slug", _B_LABELS)
@@ -67,7 +70,10 @@ def b_list(list_pages: DataFrame, detail_pages: DataFrame | None = None) -> Data
         rows = merge.with_details(rows, [detail], "slug", ["mal_id", "alternative_title", "year", "anime_type", "site_status", "episodes"])
     else:
         rows = rows.withColumns({n: F.lit(None).cast(t) for n, t in (("mal_id", "long"), ("alternative_title", "string"), ("year", "int"), ("anime_type", "string"), ("episodes", "int"))})
-    one = merge.by_precedence(rows.withColumn("id", X.hashed_id("slug")), "id", "list_pos", "rank", ["section", "slug", "title", "score", "site_status", "mal_id", "alternative_title", "year", "anime_type", "episodes"])
+    one = merge.by_precedence(
+        rows.withColumn("id", X.hashed_id("slug")), "id", "list_pos", "rank",
+        ["section", "slug", "title", "score", "site_status", "mal_id", "alternative_title", "year", "anime_type", "episodes"],
+    )
     watch = X.section_watch("section")
     return _finish(one.select(
         "list_pos", "id", F.lit("b").alias("provider"), "title", F.lit(False).alias("has_date"), F.lit(True).alias("has_year"), "year", F.col("anime_type").isNotNull().alias("has_type"), "anime_type",
@@ -93,7 +99,11 @@ def c_list(list_pages: DataFrame, detail_pages: DataFrame | None = None, tooltip
     found = pages.scrape(list_pages, "c_list", ["page"])
     watched, total = X.progress("progress")
     order = Window.partitionBy(F.lit(0)).orderBy("page", "pos")  # one user's list
-    rows = found.select((F.row_number().over(order) - 1).cast("long").alias("list_pos"), "id", "slug", "title", X.site_type("type").alias("anime_type"), X.site_watch("status").alias("watch_status"), watched.alias("watched_episodes"), total.alias("episodes"), X.cell("score").try_cast("int").alias("score"))
+    rows = found.select(
+        (F.row_number().over(order) - 1).cast("long").alias("list_pos"), "id", "slug", "title", X.site_type("type").alias("anime_type"),
+        X.site_watch("status").alias("watch_status"), watched.alias("watched_episodes"), total.alias("episodes"),
+        X.cell("score").try_cast("int").alias("score"),
+    )
     fields = ["mal_id", "original_title", "site_status", "anime_type", "premiere_date", "finish", "episodes"]
     details = []
     if detail_pages is not None:

@@ -66,7 +66,10 @@ def read_lists(spark: SparkSession, path: str, like: DataFrame, files_per_batch:
     return spark.readStream.schema(like.schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
-def match_stream(rows: DataFrame, catalog: DataFrame, index: Index, out: str, checkpoint: str, as_of: int, options: Options | None = None, progress: Progress | None = None, once: bool = True) -> StreamingQuery:
+def match_stream(
+    rows: DataFrame, catalog: DataFrame, index: Index, out: str, checkpoint: str, as_of: int, options: Options | None = None,
+    progress: Progress | None = None, once: bool = True,
+) -> StreamingQuery:
     """Match what arrives; winners are made unique within a batch, and over all of it by `winners`."""
 
     def batch(part: DataFrame, number: int) -> None:
