@@ -162,6 +162,21 @@ def test_words_like_whole_text(text):
     assert [np.frombuffer(x, "<u4").tolist() for x in words.ids(texts)] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_long_texts_in_pieces(monkeypatch):
+    rng = random.Random(31)
+    text = " ".join([prose(rng, "de", 300), "it's 4've", "x" * 90, "12345 " * 9, "a-b" * 30])
+    encoder = token_pack.WordEncoder(token_pack.tokenizer_file())
+    want = encoder.tokenizer.encode(text, add_special_tokens=False).ids
+    for run in (1, 7, 64, 1000):
+        monkeypatch.setattr(token_pack, "RUN_CHARS", run)
+        assert [np.frombuffer(x, "<u4").tolist() for x in encoder.ids([text, "", "a b", text])] == [want, [], encoder.tokenizer.encode("a b").ids, want]
+    streams = [suffix_tree.stream(t.encode())[0] for t in (text, "", "one", text)]
+    logs = lambda windows: (windows % 1009).astype(np.float32)
+    whole = suffix_tree.word_logs(suffix_tree._Known(logs), streams)
+    monkeypatch.setattr(suffix_tree, "RUN_SYMBOLS", 64)
+    assert len(whole) == sum(max(1, len(t.split())) for t in (text, "", "one", text)) and np.allclose(suffix_tree.word_logs(suffix_tree._Known(logs), streams), whole)
+
+
 def test_tokens_awkward(spark, awkward, nothing):
     from tokenizers import Tokenizer
 

@@ -78,6 +78,7 @@ def unpack_range(payload: bytes, bits: int, start: int, stop: int) -> np.ndarray
 
 #: Texts that case folding and NFC leave one for one: of ASCII and the letters of Latin-1.
 _PLAIN = re.compile(r"[\t\n\r\x20-\x7E\xC0-\xD6\xD8-\xF6\xF8-\xFF]*")
+_GAP = re.compile(r"[\t\n\r\x20]")
 #: Characters of a plain lower-case text: 0 space, 1 letter, 2 digit, 3 any other.
 _KIND = np.full(256, 3, np.uint8)
 _KIND[[9, 10, 13, 32]] = 0
@@ -177,12 +178,23 @@ class WordEncoder:
         cuts = np.append(0, stops)[np.searchsorted(starts, np.cumsum([len(t) + 1 for t in texts]))] * 4
         return [ids[a:b] for a, b in zip([0, *cuts[:-1].tolist()], cuts.tolist(), strict=True)]
 
+    def _long(self, text: str) -> bytes:
+        """Ids of a long plain text, cut at white space; a piece that has none for long goes to the library."""
+        out, at = [], 0
+        while at < len(text):
+            found = _GAP.search(text, at + RUN_CHARS)
+            end = found.start() if found else len(text)
+            piece = text[at:end]
+            out.append(self._many([piece])[0] if len(piece) <= 8 * RUN_CHARS else array("I", self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes())
+            at = end
+        return b"".join(out)
+
     def ids(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text, in order; plain texts that follow one another are taken together up to RUN_CHARS."""
         held: list[str] = []
         size = 0
         for text in texts:
-            if self._plain(text) and (not held or size + len(text) <= RUN_CHARS):
+            if size + len(text) <= RUN_CHARS and self._plain(text):
                 held.append(text)
                 size += len(text)
                 continue
@@ -191,6 +203,9 @@ class WordEncoder:
                 held, size = [], 0
             if self._plain(text):
                 held, size = [text], len(text)
+                if size > RUN_CHARS:
+                    yield self._long(text)
+                    held, size = [], 0
             else:
                 yield b"".join(map(self.pieces.__getitem__, text.replace("\n", " ").split(" ")))
         if held:
