@@ -345,12 +345,19 @@ class _Known:
                 self.mixed, self.logs, has = self.mixed[:0], self.logs[:0], np.zeros(len(has), bool)
             new = np.sort(windows[order[first[~has]]])  # ascending windows are looked up much faster
             logs, keys = self.of(new), new.astype(np.uint64) * _MIX
-            by = np.argsort(keys)
-            place = np.searchsorted(self.mixed, keys[by])
-            self.mixed, self.logs = np.insert(self.mixed, place, keys[by]), np.insert(self.logs, place, logs[by])
-            at = np.searchsorted(self.mixed, got)
+            by = np.argsort(keys, kind="stable")
+            keys, logs = keys[by], logs[by]
+            place = np.searchsorted(self.mixed, keys)
+            value = self.logs[at] if len(self.mixed) else np.empty(len(got), np.float32)
+            self.mixed, self.logs = np.insert(self.mixed, place, keys), np.insert(self.logs, place, logs)
+            if np.array_equal(keys, got[~has]):
+                value[~has] = logs
+            else:  # keys that differ in their low digits only
+                value = self.logs[np.searchsorted(self.mixed, got)]
+        else:
+            value = self.logs[at]
         out = np.empty(len(windows), np.float32)
-        out[order] = np.repeat(self.logs[at], np.diff(np.append(first, len(windows))))
+        out[order] = np.repeat(value, np.diff(np.append(first, len(windows))))
         return out
 
 
