@@ -364,19 +364,25 @@ def _linked(rows: DataFrame, key: str, kind) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(rep, root) for each node of the graph, root being the least of its component: alternating stars, written at each round.
 
-    The stars' centres are written before their joins, so that few of them are broadcast and the edges of a hot one can be split.
+    The stars' centres are broadcast if the edges are few; else they are written before their joins, so that the edges of a hot one can be
+    split over tasks.
     """
+
+    def told(df: DataFrame) -> tuple:
+        return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+
     at = materialise(edges.select("a", "b").distinct(), "edges")
+    seen = told(at)
     while True:
+        centres = F.broadcast if 2 * seen[0] <= MOST_BROADCAST else lambda df: materialise(df, "centres")
         both = at.unionByName(at.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = materialise(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")), "least")
-        large = both.join(small(least), "a").where("b > a").select(F.col("m").alias("a"), "b").distinct()
-        down = materialise(large.groupBy("b").agg(F.min("a").alias("m")), "down")
-        moved = large.join(small(down), "b").where("a <> m").select(F.col("m").alias("a"), F.col("a").alias("b"))
-        after = materialise(moved.unionByName(down.select(F.col("m").alias("a"), "b")).distinct(), "edges")
-        told = [x.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first() for x in (at, after)]
-        at = after
-        if told[0] == told[1]:
+        least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
+        large = both.join(centres(least), "a").where("b > a").select(F.col("m").alias("a"), "b").distinct()
+        down = large.groupBy("b").agg(F.min("a").alias("m"))
+        moved = large.join(centres(down), "b").where("a <> m").select(F.col("m").alias("a"), F.col("a").alias("b"))
+        at = materialise(moved.unionByName(down.select(F.col("m").alias("a"), "b")).distinct(), "edges")
+        before, seen = seen, told(at)
+        if before == seen:
             return at.select(F.col("b").alias("rep"), F.col("a").alias("root")).unionByName(at.select(F.col("a").alias("rep"), F.col("a").alias("root")).distinct())
 
 
