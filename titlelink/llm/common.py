@@ -203,7 +203,10 @@ def sample_ids(rows: DataFrame, label: str, sample: int) -> DataFrame:
     hashed = rows.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).select("doc_id", label).withColumn("h", F.xxhash64(F.lit("sample"), F.col("doc_id")))
     counts = hashed.groupBy(label).agg(F.approx_count_distinct("h").alias("n")).collect()  # a row for each label, as the model has
     share = -(-sample // max(1, len(counts)))
-    bounds = rows.sparkSession.createDataFrame([(r[0], int(min(1.0, (2 * share + 100) / max(1, r.n)) * (1 << 30))) for r in counts], f"_label {rows.schema[label].dataType.simpleString()}, _most long")
+    bounds = rows.sparkSession.createDataFrame(
+        [(r[0], int(min(1.0, (2 * share + 100) / max(1, r.n)) * (1 << 30))) for r in counts],
+        f"_label {rows.schema[label].dataType.simpleString()}, _most long",
+    )
     few = hashed.join(F.broadcast(bounds), F.col(label) == F.col("_label")).where(F.pmod("h", F.lit(1 << 30)) <= F.col("_most")).select("doc_id", label, "h").distinct()
     return few.withColumn("k", F.row_number().over(Window.partitionBy(label).orderBy("h", "doc_id"))).where(F.col("k") <= share).select("doc_id", label)
 

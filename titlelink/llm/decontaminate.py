@@ -231,7 +231,10 @@ def _part(docs: DataFrame, index: Index) -> DataFrame:
                 rows += [(doc, ids[i], e, a, b) for i, e, a, b in finder.find(normal(raw))]
             if rows:
                 columns = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), *(pa.array(c, pa.int32()) for c in columns[2:])], names=["doc_id", "item_id", "edits", "start", "end"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), *(pa.array(c, pa.int32()) for c in columns[2:])],
+                    names=["doc_id", "item_id", "edits", "start", "end"],
+                )
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text")).mapInArrow(run, HITS)
 

@@ -75,7 +75,10 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = [t.lower() for t in batch.column(0).to_pylist()]
         rows = [(lang, part, at.astype("<u4").tobytes(), share.astype("<f4").tobytes()) for lang, part, (at, share) in zip(*(batch.column(k).to_pylist() for k in (1, 2)), bucket_shares(texts), strict=True) if len(at)]
         columns = list(zip(*rows, strict=True)) if rows else [()] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.binary()), pa.array(columns[3], pa.binary())], names=["lang", "part", "at", "share"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.binary()), pa.array(columns[3], pa.binary())],
+            names=["lang", "part", "at", "share"],
+        )
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
@@ -83,7 +86,9 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def train(examples: list[tuple[int, np.ndarray, np.ndarray]], classes: int, epochs: int = 6, rate: float = 0.5, size: int = 16, seed: int = 7) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def train(
+    examples: list[tuple[int, np.ndarray, np.ndarray]], classes: int, epochs: int = 6, rate: float = 0.5, size: int = 16, seed: int = 7,
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """SGD over (class, buckets, shares): the embeddings, the softmax weights and the bias."""
     rng = np.random.default_rng(seed)
     embed = rng.uniform(-0.5, 0.5, (1 << BITS, DIMENSIONS)).astype(np.float32) / DIMENSIONS
@@ -169,7 +174,10 @@ def predict(docs: DataFrame, model: Model, fold: Column | None = None) -> DataFr
                 best = int(p.argmax())
                 rows.append((model.languages[best], round(float(p[best]), 6), bool(p[best] < model.threshold)))
             langs, scores, rejected = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())], names=["doc_id", "held_out", "lang_pred", "score", "rejected"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(3), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())],
+                names=["doc_id", "held_out", "lang_pred", "score", "rejected"],
+            )
 
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"),

@@ -51,7 +51,9 @@ def fingerprints(rows: DataFrame, words: int = WORDS, window: int = WINDOW) -> D
     blocks = rows.select("k", "th", "u", "at", F.collect_list("h").over(block).alias("hs"), F.max(F.col("at") + F.col("w")).over(doc).alias("all"))
     blocks = blocks.where(F.col("all") - F.col("at") >= words).select("k", "th", "u", "at", F.xxhash64("hs").alias("fh"), F.size("hs").alias("n"))
     least = F.min(F.struct("fh", (-F.col("u")).alias("back"), "n")).over(doc.orderBy("at").rangeBetween(0, window - 1))
-    return blocks.select("k", "th", least.alias("m")).select("k", "th", (-F.col("m.back")).alias("u"), F.col("m.n").alias("n"), F.col("m.fh").alias("fh")).dropDuplicates(["k", "th", "u"])
+    return blocks.select("k", "th", least.alias("m")).select(
+        "k", "th", (-F.col("m.back")).alias("u"), F.col("m.n").alias("n"), F.col("m.fh").alias("fh"),
+    ).dropDuplicates(["k", "th", "u"])
 
 
 def neighbours(rows: DataFrame, words: int = WORDS) -> DataFrame:
@@ -90,10 +92,18 @@ def repeated_lines(docs: DataFrame, words: int = WORDS, window: int = WINDOW) ->
 
 def repeats(docs: DataFrame, **options) -> DataFrame:
     """Per document: doc_id, n_lines, n_removed, words_removed, removed (numbers of the deleted lines, from 0)."""
-    gone = repeated_lines(docs, **options).groupBy("k", "th").agg(F.count("*").alias("n_removed"), F.sum("w").alias("words_removed"), F.sort_array(F.collect_list("line")).alias("removed"))
-    every = docs.select("doc_id", _key().alias("k"), F.xxhash64(_text()).alias("th"), (F.length(_text()) - F.length(F.replace(_text(), F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"))
+    gone = repeated_lines(docs, **options).groupBy("k", "th").agg(
+        F.count("*").alias("n_removed"), F.sum("w").alias("words_removed"), F.sort_array(F.collect_list("line")).alias("removed"),
+    )
+    every = docs.select(
+        "doc_id", _key().alias("k"), F.xxhash64(_text()).alias("th"),
+        (F.length(_text()) - F.length(F.replace(_text(), F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"),
+    )
     none = F.array().cast("array<int>")
-    return every.join(gone, ["k", "th"], "left").select("doc_id", "n_lines", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("words_removed", F.lit(0)).cast("long").alias("words_removed"), F.coalesce("removed", none).alias("removed"))
+    return every.join(gone, ["k", "th"], "left").select(
+        "doc_id", "n_lines", F.coalesce("n_removed", F.lit(0)).alias("n_removed"),
+        F.coalesce("words_removed", F.lit(0)).cast("long").alias("words_removed"), F.coalesce("removed", none).alias("removed"),
+    )
 
 
 def clean(docs: DataFrame, **options) -> DataFrame:

@@ -68,14 +68,20 @@ def _slots(spark: SparkSession, plan: list[tuple[int, int, int, int]], block: in
     # A row for each source and each of 4096 cells, besides one more for each source.
     cells = F.broadcast(spark.createDataFrame(ranges, "src int, low long, high long, cell long"))
     points = spark.range(total).select(F.col("id").alias("slot"), F.pmod(F.pmod("id", F.lit(POINTS)) * F.lit(STEP), F.lit(POINTS)).alias("point"))
-    drawn = points.withColumn("cell", F.expr(f"point div {CELL}")).join(cells, "cell").where("point >= low and point < high").select("src", "slot", F.expr(f"slot div {CHUNK}").alias("chunk"))
+    drawn = points.withColumn("cell", F.expr(f"point div {CELL}")).join(cells, "cell").where("point >= low and point < high").select(
+        "src", "slot", F.expr(f"slot div {CHUNK}").alias("chunk"),
+    )
     before = drawn.groupBy("src", "chunk").agg(F.count("*").alias("n"))
     before = before.select("src", "chunk", (F.sum("n").over(Window.partitionBy("src").orderBy("chunk")) - F.col("n")).alias("before"))
-    ranked = drawn.join(before, ["src", "chunk"]).select("src", "slot", (F.col("before") + F.row_number().over(Window.partitionBy("src", "chunk").orderBy("slot")) - 1).alias("rank"))
+    ranked = drawn.join(before, ["src", "chunk"]).select(
+        "src", "slot", (F.col("before") + F.row_number().over(Window.partitionBy("src", "chunk").orderBy("slot")) - 1).alias("rank"),
+    )
     quota = F.broadcast(spark.createDataFrame([(p[0], p[3]) for p in plan], "src int, slots long"))
     ranked = ranked.join(quota, "src").where("rank < slots").drop("slots")
     reached = ranked.groupBy("src").agg(F.count("*").alias("n"))
-    late = quota.join(reached, "src", "left").select("src", F.explode(F.sequence(F.coalesce("n", F.lit(0)), F.col("slots") - 1)).alias("rank"), F.coalesce("n", F.lit(0)).alias("n"), "slots") if plan else None
+    late = quota.join(reached, "src", "left").select(
+        "src", F.explode(F.sequence(F.coalesce("n", F.lit(0)), F.col("slots") - 1)).alias("rank"), F.coalesce("n", F.lit(0)).alias("n"), "slots",
+    ) if plan else None
     late = late.where("n < slots").select("src", (F.lit(total) + F.col("rank")).alias("slot"), "rank")
     return ranked.unionByName(late.select("src", "slot", F.col("rank").cast("long").alias("rank")))
 
@@ -85,7 +91,10 @@ def schedule(docs: DataFrame, block: int = BLOCK_WORDS, weights: tuple[int, ...]
     (src, slot, low, words) for each piece of a document that a slot takes, in slot order. No mix if there are no words."""
     spark = docs.sparkSession
     size = F.coalesce(F.regexp_count("text", F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
-    sized = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), F.xxhash64("text").alias("th")), "sizes")
+    sized = materialise(
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), F.xxhash64("text").alias("th")),
+        "sizes",
+    )
     counted = sized.groupBy("source").agg(F.sum("size").alias("n"), F.count("*").alias("rows")).collect()
     sizes = sorted(((r.source, r.n) for r in counted), key=lambda r: (r[0] is None, r[0] or ""))
     buckets = max(BUCKETS, sum(r.rows for r in counted) // BUCKET_ROWS)
@@ -127,7 +136,9 @@ def remake(docs: DataFrame, length: str = "n_chars", **options) -> DataFrame:
     words (joined by spaces; the column `length`, if there, then counts them) where its source's last slot ends inside it. Rows
     alike in id and text count once."""
     key = docs.withColumn("_th", F.xxhash64("text")).dropDuplicates(["doc_id", "_th"])
-    taken = mix(key.drop("_th"), **options).where("taken > 0").select(F.col("doc_id").alias("_id"), F.col("th").alias("_h"), F.col("size").alias("_size"), F.col("taken").alias("_taken"))
+    taken = mix(key.drop("_th"), **options).where("taken > 0").select(
+        F.col("doc_id").alias("_id"), F.col("th").alias("_h"), F.col("size").alias("_size"), F.col("taken").alias("_taken"),
+    )
     rows = key.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_h")))
     words = F.slice(F.regexp_extract_all("text", F.lit(WORD_PATTERN), F.lit(0)), 1, F.expr("cast(_taken % _size as int)"))
     turns = rows.withColumn("_turn", F.explode(F.expr("sequence(1, cast(ceil(_taken / _size) as int))")))

@@ -89,7 +89,10 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ones.append(int(digest[0]))
             twos.append(int(digest[1]))
             signs.append(signature(found).astype("<u2").tobytes() if len(found) else None)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(ones, pa.int64()), pa.array(twos, pa.int64()), pa.array(signs, pa.binary())], names=["doc_id", "n_shingles", "d1", "d2", "sig"])
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array(sizes, pa.int64()), pa.array(ones, pa.int64()), pa.array(twos, pa.int64()), pa.array(signs, pa.binary())],
+            names=["doc_id", "n_shingles", "d1", "d2", "sig"],
+        )
 
 
 def features(docs: DataFrame) -> DataFrame:
@@ -346,7 +349,10 @@ def _linked(rows: DataFrame, key: str, kind) -> DataFrame:
     """
     own = [c.split(" ")[0] for c in kind.SCHEMA.split(", ")]
     block = F.pmod(F.xxhash64("rep"), F.col("blocks"))
-    dealt = rows.withColumn("i", F.explode(F.when((F.col("blocks") > 1) & (F.col("rep") == F.col("lead")), F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array(block))))
+    dealt = rows.withColumn(
+        "i",
+        F.explode(F.when((F.col("blocks") > 1) & (F.col("rep") == F.col("lead")), F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array(block))),
+    )
     dealt = dealt.select(key, "i", "blocks", "rep", *own).repartition(key, "i").sortWithinPartitions(key, "i")
     found = materialise(dealt.mapInArrow(_within(kind), _FOUND), "found")
     edges, loose = found.where("not loose").select("a", "b"), found.where("loose").select(F.col("a").alias(key), F.col("b").alias("rep")).distinct()
@@ -354,7 +360,9 @@ def _linked(rows: DataFrame, key: str, kind) -> DataFrame:
         return edges
     counts = materialise(loose.groupBy(key).agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias("parts")), "loose")
     every = rows.join(small(counts), key).select(key, "parts", "blocks", "rep", *own)
-    left = every.join(small(loose), [key, "rep"], "left_semi").withColumn("i", F.pmod(F.xxhash64("rep", F.lit(7)), F.col("parts"))).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    left = every.join(small(loose), [key, "rep"], "left_semi").withColumn("i", F.pmod(F.xxhash64("rep", F.lit(7)), F.col("parts"))).withColumn(
+        "j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)),
+    )
     right = every.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).withColumn("j", block)
     both = [x.select(key, "i", "j", F.lit(n).alias("side"), "rep", *own) for n, x in enumerate((left, right))]
     met = both[0].unionByName(both[1]).repartition(key, "i", "j").sortWithinPartitions(key, "i", "j", "side")
@@ -389,11 +397,18 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (the least doc_id that links reach), kept (it is that one)."""
     found = materialise(features(docs), "features")
-    classes = found.where("doc_id is not null and n_shingles > 0").groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.min("sig").alias("sig"), F.count("*").alias("c"))
+    classes = found.where("doc_id is not null and n_shingles > 0").groupBy("d1", "d2", "n_shingles").agg(
+        F.min("doc_id").alias("rep"), F.min("sig").alias("sig"), F.count("*").alias("c"),
+    )
     classes = materialise(classes, "classes")
     keys = classes.select("rep", "sig").mapInArrow(_keys, "key long, rep long")
     # Counted before they are joined: a key that many share is split over tasks, and most keys are of one row and go.
-    counts = materialise(keys.groupBy("key").agg(F.count("*").alias("c"), F.min("rep").alias("lead")).where("c > 1").select("key", F.ceil(F.col("c") / F.lit(BLOCK)).alias("blocks"), "lead"), "keys")
+    counts = materialise(
+        keys.groupBy("key").agg(F.count("*").alias("c"), F.min("rep").alias("lead")).where("c > 1").select(
+            "key", F.ceil(F.col("c") / F.lit(BLOCK)).alias("blocks"), "lead",
+        ),
+        "keys",
+    )
     shared = materialise(keys.join(small(counts), "key"), "shared")
     signed = shared.join(classes.select("rep", "n_shingles", "sig"), "rep")
     parts = materialise(components(_linked(signed, "key", _Signatures)), "parts")
@@ -411,7 +426,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     whole = texts.select("rep", "part", "blocks", "text").mapInArrow(sets, "rep long, part long, blocks long, shingles binary").withColumn("lead", F.col("part"))
     links = _linked(whole.where("octet_length(shingles) > 0"), "part", _Shingles)
     copies = classes.where("c > 1").select("d1", "d2", "n_shingles", "rep")
-    placed = found.join(copies, ["d1", "d2", "n_shingles"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")).alias("rep"))
+    placed = found.join(copies, ["d1", "d2", "n_shingles"], "left").select(
+        "doc_id", "n_shingles",
+        F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")).alias("rep"),
+    )
     placed = materialise(placed, "placed")
     # A doc_id with several texts joins their classes.
     least = placed.where("doc_id is not null").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("m")).where("a < m").drop("m")

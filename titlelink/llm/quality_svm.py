@@ -108,7 +108,10 @@ def log_count_ratios(rows: list[np.ndarray], y: np.ndarray, smooth: float = 1.0)
     return (np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())).astype(np.float64)
 
 
-def dual_descent(rows: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, size: int, cost: float = 1.0, epochs: int = 30, seed: int = 3, tolerance: float = 1e-3) -> tuple[np.ndarray, float]:
+def dual_descent(
+    rows: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, size: int, cost: float = 1.0, epochs: int = 30, seed: int = 3,
+    tolerance: float = 1e-3,
+) -> tuple[np.ndarray, float]:
     """The hinge-loss weights and the bias (a feature of value 1): one dual variable at a time, between 0 and its row's cost."""
     rng = np.random.default_rng(seed)
     weight, bias = np.zeros(size), 0.0
@@ -197,7 +200,10 @@ def score_documents(docs: DataFrame, model: Model, fold: Column | None = None, k
         model = held.value
         for batch in slices(batches):
             scores = [round(model.score(at), 6) for at in features(batch.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(scores, pa.float64()), pa.array([int(s >= keep) for s in scores], pa.int32())], names=["doc_id", "held_out", "score", "predicted"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(2), pa.array(scores, pa.float64()), pa.array([int(s >= keep) for s in scores], pa.int32())],
+                names=["doc_id", "held_out", "score", "predicted"],
+            )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"), (fold if fold is not None else F.lit(False)).alias("held_out"))
     return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")

@@ -403,7 +403,10 @@ def find_secrets(docs: DataFrame, threshold: float = 0.55) -> DataFrame:
                 rows.append((doc, counts[0], counts[1], counts[2], hashlib.sha256(_write(base).encode()).hexdigest(), _write(spans), len(spans) - len(base)))
             columns = list(zip(*rows, strict=True)) if rows else [()] * 7
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_literal"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)],
+                names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_literal"],
+            )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_literal long")

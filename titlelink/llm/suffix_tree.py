@@ -155,7 +155,10 @@ _PACKED = "bucket long, n long, windows binary, counts binary"
 
 def _pack(bucket: int, found: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
     row = [[bucket], [len(found)], [_planes(np.diff(found, prepend=0))], [_planes(counts)]]
-    return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "n", "windows", "counts"])
+    return pa.RecordBatch.from_arrays(
+        [pa.array(v, t) for v, t in zip(row, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)],
+        names=["bucket", "n", "windows", "counts"],
+    )
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -427,7 +430,10 @@ _CHUNK = "chunk long, texts binary, words array<bigint>, trained array<bigint>,
 _CHUNK_ARROW = pa.schema([("chunk", pa.int64()), ("texts", pa.binary()), ("words", pa.list_(pa.int64())), ("trained", pa.list_(pa.int64())), ("windows", pa.list_(pa.int64()))])
 #: What stands in `texts`, as one Arrow message: a plain binary column costs nothing in the many rows that have none. Of each text its words'
 #: numbers in the chunk, the end first, and their logs; or, without a model at hand, its symbols.
-_TEXTS = pa.schema([("doc_ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int32())), ("n", pa.int64()), ("ids", pa.binary()), ("logs", pa.binary()), ("n_logs", pa.int64()), ("streams", pa.list_(pa.binary()))])
+_TEXTS = pa.schema([
+    ("doc_ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int32())), ("n", pa.int64()), ("ids", pa.binary()),
+    ("logs", pa.binary()), ("n_logs", pa.int64()), ("streams", pa.list_(pa.binary())),
+])
 
 
 class _Numbered(dict):
@@ -563,11 +569,15 @@ def score_documents(docs: DataFrame, tree: Tree, fold: Column | None = None, mos
     model = docs.sparkSession.sparkContext.broadcast(Model(tree.root, tree.nodes.toArrow())) if few else None
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"), (fold if fold is not None else F.lit(False)).alias("held"))
     chunks = materialise(rows.mapInArrow(_chunks(model), _CHUNK), "chunks")
-    words = chunks.select("chunk", F.posexplode(F.arrays_zip("words", "trained")).alias("place", "w")).select("chunk", "place", F.col("w.words").alias("word"), F.col("w.trained").alias("n"))
+    words = chunks.select("chunk", F.posexplode(F.arrays_zip("words", "trained")).alias("place", "w")).select(
+        "chunk", "place", F.col("w.words").alias("word"), F.col("w.trained").alias("n"),
+    )
     counts = materialise(words.where("n > 0").groupBy("word").agg(F.sum("n").alias("c")), "counts")
     total, distinct = counts.agg(F.sum("c"), F.count("*")).first()
     none, nan = F.lit(None).cast("binary").alias("texts"), F.lit(float("nan")).cast("double").alias("log")
-    known = words.select("chunk", "place", "word").join(counts, "word", "left").select("chunk", F.col("place").cast("long").alias("place"), F.coalesce("c", F.lit(0)).alias("c"), none, nan)
+    known = words.select("chunk", "place", "word").join(counts, "word", "left").select(
+        "chunk", F.col("place").cast("long").alias("place"), F.coalesce("c", F.lit(0)).alias("c"), none, nan,
+    )
     heads = chunks.select("chunk", F.lit(-1).cast("long").alias("place"), F.lit(0).cast("long").alias("c"), "texts", nan)
     both = known.unionByName(heads)
     if not few:

@@ -118,10 +118,16 @@ def score_documents(docs: DataFrame, ratios: np.ndarray, threshold: float = THRE
                 rows.append((doc, n, chars, symbols, lines, repeated, failed, not failed and score >= threshold, score))
             kinds = [pa.int64()] * 6 + [pa.bool_()] * 2 + [pa.float64()]
             columns = list(zip(*rows, strict=True)) if rows else [()] * 9
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)],
+                names=["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score"],
+            )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, score double")
+    return rows.mapInArrow(
+        run,
+        "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, score double",
+    )
 
 
 def op5_target_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -238,7 +238,10 @@ def _writer(spec: str, bits: int, end_id: int) -> Callable[[Iterator[pa.RecordBa
         def flush():
             nonlocal block, first, held, names, starts, size
             ids = np.frombuffer(b"".join(held), "<u4")
-            row = pa.RecordBatch.from_pylist([{"shard": shard, "block": block, "bits": bits, "first": first, "n_ids": size, "doc_ids": names, "doc_starts": starts, "payload": pack(ids, bits)}], _ARROW)
+            row = pa.RecordBatch.from_pylist(
+                [{"shard": shard, "block": block, "bits": bits, "first": first, "n_ids": size, "doc_ids": names, "doc_starts": starts, "payload": pack(ids, bits)}],
+                _ARROW,
+            )
             block, first, held, names, starts, size = block + 1, first + size, [], [], [], 0
             return row
 
