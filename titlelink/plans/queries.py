@@ -391,7 +391,7 @@ def winner_claims(spark, d):
 
 @query
 def conflicts(spark, d):
-    return review.conflicts(_state(spark, d)).select("catalog_id", F.size("source_ids").cast(LONG).alias("n"))
+    return review.conflict_counts(_state(spark, d))
 
 
 @query
