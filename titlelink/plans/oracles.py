@@ -367,7 +367,7 @@ _TOTALS = " UNION ALL ".join(
 )
 ORACLES["weight_grid"] = f"""WITH {_FOUND}, {matched(score.STRICT)}, totals AS ({_TOTALS}),
 lined AS (SELECT *, row_number() OVER win AS place, f - lead(CASE WHEN f >= 0.3 THEN f END) OVER win AS lead_gap FROM totals WINDOW win AS (PARTITION BY setting, q ORDER BY f DESC, search_rank))
-SELECT setting, count(*) FILTER (lead_gap IS NULL OR lead_gap > 0.01 OR abs(lead_gap - 0.01) <= 1.1920929e-7) AS winners FROM lined WHERE place = 1 AND f >= 0.3 GROUP BY setting"""
+SELECT setting::BIGINT AS setting, count(*) FILTER (lead_gap IS NULL OR lead_gap > 0.01 OR abs(lead_gap - 0.01) <= 1.1920929e-7) AS winners FROM lined WHERE place = 1 AND f >= 0.3 GROUP BY setting"""
 _TEXT = r"trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g'))"
 for _code, _sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&amp;", "&")):
     _TEXT = f"replace({_TEXT}, '{_code}', '{_sign}')"

@@ -279,7 +279,7 @@ GRID = [([1.0] * 7, 1.0), ([1.0, 0.2, 0.8, 0.7, 0.5, 0.2, 0.3], 0.7), ([1.0, 0,
 
 @query
 def weight_grid(spark, d):
-    return match.tune(_scored(spark, d), GRID, 0.3, 0.01)
+    return match.tune(_scored(spark, d), GRID, 0.3, 0.01).select(F.col("setting").cast(LONG).alias("setting"), "winners")
 
 
 @query
