@@ -9,7 +9,7 @@ never seen after a context has its suffix's probability times a factor. Texts ar
 
 The tree's probability of a word (its bytes and the separator behind) is mixed evenly with the base's: so a common word is never less
 likely than half its share, and an unknown one has the tree's spelling. A text's score is the sum over its words of the log10 of
-that mean; the base's factor for the end goes with the last word. Logs of single words are kept to 1/1024.
+that mean; the base's factor for the end goes with the last word. Logs of single words are kept to 1/256.
 
 Windows are counted in each task by sorting, dealt out as packed arrays by the three symbols before the next one, and merged there; a
 context's suffixes of three symbols and more lie in its own bucket, so the levels from there on need no join. The tree is kept as a
@@ -62,7 +62,8 @@ RUN_SYMBOLS = 1 << 20
 #: Where the rows of windows stand behind those of words in a chunk.
 _BEHIND = 1 << 40
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_STEPS = 1024
+_STEPS = 256
+_ZSTD = pa.Codec("zstd", compression_level=3)
 
 
 def stream(text: bytes) -> tuple[bytes, list[bytes]]:
@@ -137,7 +138,7 @@ class _Counts:
 def _planes(values: np.ndarray) -> bytes:
     """Numbers as compressed planes of their bytes."""
     wide = values.astype("<i8")
-    return pa.compress(np.ascontiguousarray(wide.view(np.uint8).reshape(-1, 8).T).tobytes(), codec="zstd", asbytes=True)
+    return _ZSTD.compress(np.ascontiguousarray(wide.view(np.uint8).reshape(-1, 8).T).tobytes(), asbytes=True)
 
 
 def _numbers(data: bytes, n: int) -> np.ndarray:
